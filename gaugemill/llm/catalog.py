@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from gaugemill.llm.decontamination import OP10_SQL, op10_decontamination
 from gaugemill.llm.mixing import op9_mixing
 from gaugemill.llm.sharding import op6_sharding
+from gaugemill.llm.simhash import op5_simhash
+from gaugemill.llm.topk import OP8_SQL, op8_topk
+from gaugemill.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op2_warc": op2_warc,
+    "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
+    "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_warc": OP2_SQL,
+    "op8_topk": OP8_SQL,
+    "op10_decontamination": OP10_SQL,
+}
