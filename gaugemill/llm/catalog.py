@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from gaugemill.llm.decontamination import OP10_SQL, op10_decontamination
+from gaugemill.llm.language import op1_language
 from gaugemill.llm.mixing import op9_mixing
 from gaugemill.llm.sharding import op6_sharding
 from gaugemill.llm.simhash import op5_simhash
 from gaugemill.llm.topk import OP8_SQL, op8_topk
+from gaugemill.llm.toxicity import op7_toxicity
 from gaugemill.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_warc": op2_warc,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
+    "op7_toxicity": op7_toxicity,
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
