@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 from gaugemill.llm.bytewise import as_bytes
 from gaugemill.llm.common import materialize, row_key, table
@@ -35,22 +35,14 @@ HOT = 256
 BITS = 64
 SEED = 42
 RUN = 1 << 16
+#: For documents whose five-word shingle sets resemble each other: least similarity, bits that may differ then, shards of a text, hashes kept.
+SIMILARITY, WIDE, SHARDS, KEPT = 0.8, 18, 5, 128
 
 _hash = partial(xxh64_intdigest, seed=SEED)
 
 
 def fingerprint(text, shingle: int = SHINGLE) -> int:
-    words = as_bytes(text).lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)])
-    hashes = np.fromiter(map(_hash, grams), np.uint64, n)
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, RUN):
-        bits = np.unpackbits(hashes[at : at + RUN].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -171,14 +163,116 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return rows.join(of, "fp").select("doc_id", "key", "fp", "component_id")
 
 
+def shingle_hashes(text, shingle: int) -> np.ndarray:
+    """64-bit hashes of the shingles of a text, repeats included."""
+    words = as_bytes(text).lower().split()
+    n = len(words) - shingle + 1
+    if n <= 1:
+        return np.array([_hash(b" ".join(words))] if words else [], np.uint64)
+    return np.fromiter(map(_hash, map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), RUN):
+        bits = np.unpackbits(hashes[at : at + RUN].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) * (x >> 63)
+
+
+def sketches(docs: DataFrame, shingle: int, shards: int, kept: int) -> DataFrame:
+    """doc_id, key, node (hash of the text), fp, shards (least shingle hashes) and sketch (binary: the kept least ones)."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, key, text in batch.itertuples(index=False):
+                hashes = shingle_hashes(text, shingle)
+                least = np.unique(hashes)[:kept]
+                out.append((doc_id, key, xxh3_64_intdigest(as_bytes(text)) - (1 << 63), _signed(majority(hashes)), least[:shards].view(np.int64).tolist() or [0], least.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "key", "node", "fp", "shards", "sketch"])
+
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row_key(docs, "doc_id", "text", "lang", "source", "n_chars").alias("key"), "text")
+    return rows.mapInPandas(work, "doc_id string, key long, node long, fp long, shards array<long>, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def resemblance(a: np.ndarray, b: np.ndarray, kept: int) -> float:
+    """Jaccard similarity of two sets from their least hashes; exact while the union has no more than kept."""
+    both = np.union1d(a, b)[:kept]
+    return np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True).size / both.size if both.size else 1.0
+
+
+def linked_similar(nodes: list[int], fps: list[int], sets: list[bytes], radius: int, similarity: float, kept: int) -> list[tuple[int, int]]:
+    """Links within one shard: a BK-tree proposes, sketches decide; pairs that are already joined are not compared."""
+    tree, parent = BKTree(), list(range(len(nodes)))
+    sketch = [np.frombuffer(x, np.uint64) for x in sets]
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i, fp in enumerate(fps):
+        for j in tree.within(fp, radius):
+            a, b = sorted((top(i), top(j)))
+            if a != b and resemblance(sketch[i], sketch[j], kept) >= similarity:
+                parent[b] = a
+        tree.add(fp)
+    return [(nodes[i], nodes[top(i)]) for i in range(len(nodes)) if top(i) != i]
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, radius: int = WIDE, shards: int = SHARDS, kept: int = KEPT, hot: int = 16 * HOT) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, key, component_id, where Jaccard similarity of shingle sets links.
+
+    A similarity of 0.8 leaves some ten of 64 bits different, too many for blocks of equal bits. So the shards here are the least
+    shingle hashes: texts of similarity s share none of m with a chance of about (1 - s) ** m. Shards with more than hot
+    texts are divided by the texts' other least hashes.
+    """
+    rows = materialize(sketches(docs, shingle, shards, kept), "similar-rows")
+    distinct = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("shards").alias("shards"), F.first("sketch").alias("sketch")), "similar-distinct")
+    dealt = distinct.select("node", "shards", F.explode("shards").alias("shard"))
+    counts = dealt.groupBy("shard").count().where("count > 1").select("shard", (F.col("count") > hot).alias("big"))
+    shared = materialize(dealt.join(counts, "shard"), "similar-shared")
+    again = shared.where("big").select("node", "shard", F.explode(F.array_except("shards", F.array("shard"))).alias("other")).select("node", F.xxhash64(F.least("shard", "other"), F.greatest("shard", "other")).alias("shard"))
+    members = shared.where("not big").select("node", "shard").unionByName(again.distinct()).join(distinct.select("node", "fp", "sketch"), "node")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in chain(batches, [None]):
+            part = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if part is None or not len(part):
+                continue
+            s = part["shard"].to_numpy()
+            heads = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
+            if batch is not None:  # the last shard may go on
+                rest, heads = part.iloc[heads[-2] :], heads[:-1]
+            out = []
+            for a, b in zip(heads[:-1], heads[1:], strict=True):
+                if b - a > 1:
+                    x = part.iloc[a:b]
+                    out += linked_similar(x["node"].tolist(), x["fp"].to_numpy(np.int64).view(np.uint64).tolist(), x["sketch"].tolist(), radius, similarity, kept)
+            yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = members.select("shard", "node", "fp", "sketch").repartition(parts, "shard").sortWithinPartitions("shard", "node").mapInPandas(search, "a long, b long")
+    top = roots(found, "similar-links")
+    placed = distinct.select("node", "least").join(top, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = materialize(placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id", "root"), "similar-components")
+    return rows.select("doc_id", "key", "node").join(of, "node").select("doc_id", "key", "root", "component_id")
+
+
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that stand for their component: that of its smallest doc_id; of repeated ids the smallest row key, once."""
-    found = near_duplicates(docs, **how)
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nul"), F.col("doc_id"), F.col("key"))).alias("x"), F.count("*").alias("n"))
-    keep = materialize(first.select(F.col("x.key").alias("_keep")), "simhash-keep")
+    """The rows of docs that stand for their group of similar documents: that of its smallest doc_id; of equal ids the smallest row key, once."""
+    found = similar_documents(docs, **how)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nul"), F.col("doc_id"), F.col("key"))).alias("x"))
+    keep = materialize(first.select(F.col("x.key").alias("_keep")), "similar-keep")
     keyed = docs.withColumn("_key", row_key(docs, "doc_id", "text", "lang", "source", "n_chars"))
     kept = keyed.join(keep, F.col("_key") == F.col("_keep"), "left_semi")
-    if kept.groupBy("_key").count().where("count > 1").limit(1).count():
+    if found.groupBy("key").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["_key"])
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
