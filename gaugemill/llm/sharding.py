@@ -77,7 +77,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = materialize(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), digest.alias("_h"), F.shiftrightunsigned(digest, 64 - UNIT_BITS).cast("int").alias("_unit")), "shard-rows")
     part = F.pmod(F.xxhash64("doc_id", "_h"), F.lit(PARTS)).cast("int")
     units = {u: (n, size) for u, n, size in rows.groupBy("_unit").agg(F.count("*"), F.sum("size")).collect()}  # at most 2 ** UNIT_BITS
-    hot = sorted(u for u, (n, _) in units.items() if n > max(1, sum(x for x, _ in units.values()) // HOT_SHARE, PARTS))  # at most HOT_SHARE
+    most = max(PARTS, sum(n for n, _ in units.values()) // HOT_SHARE)
+    hot = sorted(u for u, (n, _) in units.items() if n > most)  # at most HOT_SHARE
     counts = {(u, p): n for u, p, n in rows.where(F.col("_unit").isin(hot)).groupBy("_unit", part).count().collect()} if hot else {}
     order = sorted(units)
     offsets, filled, divided = [], [0] * shards, set(hot)
