@@ -44,9 +44,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_key(df: DataFrame, *columns: str) -> Column:
-    """64 bits over the named columns that df has, in a fixed order; used beside doc_id, never alone."""
-    return F.xxhash64(*(F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in columns if c in df.columns))
+def row_key(df: DataFrame) -> Column:
+    """64 bits over all columns of df that can be hashed; rows with equal keys count as equal rows."""
+    return F.xxhash64(*(F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind))
+
+
+def boxed(df: DataFrame) -> DataFrame:
+    """_row (all columns of df, so that no name can clash) and _key."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), row_key(df).alias("_key"))
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("_row.*")
 
 
 def few_rows(df: DataFrame, bound: int) -> bool:

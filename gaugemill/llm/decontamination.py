@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugemill.llm.bytewise import WORD_BYTE, Prefix, as_bytes, mixed, pieces, spans
-from gaugemill.llm.common import materialize, row_key, table
+from gaugemill.llm.common import boxed, materialize, row_key, table, unboxed
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -65,7 +65,7 @@ def postings(texts: list[bytes]) -> tuple[dict[bytes, np.ndarray], np.ndarray]:
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored index of docs(doc_id, text): a row for each segment and word, and one with the segment's documents."""
-    rows = docs.select("doc_id", row_key(docs, "doc_id", "text", "lang", "source", "n_chars").alias("key"), "text")
+    rows = docs.select("doc_id", row_key(docs).alias("key"), "text")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seg = TaskContext.get().partitionId() << 32
@@ -186,8 +186,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of docs in which no benchmark window occurs."""
     bad = materialize(decontaminate(docs, benchmark, **how).where("contaminated").select(F.col("key").alias("_bad")).distinct(), "decontamination-bad")
-    keyed = docs.withColumn("_key", row_key(docs, "doc_id", "text", "lang", "source", "n_chars"))
-    return keyed.join(bad, F.col("_key") == F.col("_bad"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = boxed(docs)
+    return unboxed(keyed.join(bad, F.col("_key") == F.col("_bad"), "left_anti"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

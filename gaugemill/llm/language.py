@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugemill.llm.bytewise import pieces
-from gaugemill.llm.common import materialize, row_key, table
+from gaugemill.llm.common import boxed, materialize, row_key, table, unboxed
 
 FIT_PER_LANGUAGE = 1000
 LEAST_SHARE = 0.001
@@ -155,7 +155,7 @@ def identify(rows: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> DataFrame
 
 def document_rows(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, lang, source) as evidence: lang is what is declared, source the host."""
-    key = row_key(docs, "doc_id", "text", "lang", "source", "n_chars").alias("key")
+    key = row_key(docs).alias("key")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), key, primary(F.col("lang")).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), F.lit("documents").alias("domain"), "text")
 
 
@@ -164,14 +164,14 @@ def page_rows(pages: DataFrame) -> DataFrame:
     host = F.nullif(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
     declared = primary(F.regexp_extract("html", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", 1))
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&#?\w+;", " ")
-    return pages.select(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), row_key(pages, "page_id", "url", "html").alias("key"), declared.alias("declared"), F.nullif(F.regexp_extract(host, r"\.([a-z]+)$", 1), F.lit("")).alias("suffix"), host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), text.alias("text"))
+    return pages.select(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), row_key(pages).alias("key"), declared.alias("declared"), F.nullif(F.regexp_extract(host, r"\.([a-z]+)$", 1), F.lit("")).alias("suffix"), host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), text.alias("text"))
 
 
 def known_language(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs whose language is identified."""
     keep = materialize(identify(document_rows(docs), **how).where("kept").select(F.col("key").alias("_keep")).distinct(), "language-keep")
-    keyed = docs.withColumn("_key", row_key(docs, "doc_id", "text", "lang", "source", "n_chars"))
-    return keyed.join(keep, F.col("_key") == F.col("_keep"), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = boxed(docs)
+    return unboxed(keyed.join(keep, F.col("_key") == F.col("_keep"), "left_semi"))
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

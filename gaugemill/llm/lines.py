@@ -53,7 +53,7 @@ def line_hashes(docs: DataFrame) -> DataFrame:
             hashes = [np.array([xxh64_intdigest(x) for x in split_lines(t)], np.uint64).tobytes() for t in batch["text"]]
             yield batch[DOC].assign(hashes=hashes)
 
-    rows = docs.select(F.col("doc_id").isNull().alias("nul"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"), row_key(docs, "doc_id", "text", "lang", "source", "n_chars").alias("key"), "text")
+    rows = docs.select(F.col("doc_id").isNull().alias("nul"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"), row_key(docs).alias("key"), "text")
     return rows.mapInPandas(work, "nul boolean, id long, key long, hashes binary")
 
 
@@ -98,7 +98,7 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     hashed = materialize(line_hashes(docs), "lines-hashed")
     gone = later_windows(hashed, run).groupBy(*DOC).agg(F.sort_array(F.collect_set("start")).alias("starts"))
     gone = materialize(gone.select(F.col("nul").alias("_nul"), F.col("id").alias("_id"), F.col("key").alias("_key"), "starts"), "lines-gone")
-    rows = docs.select(F.col("doc_id").isNull().alias("nul"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"), row_key(docs, "doc_id", "text", "lang", "source", "n_chars").alias("key"), "text")
+    rows = docs.select(F.col("doc_id").isNull().alias("nul"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"), row_key(docs).alias("key"), "text")
     joined = rows.join(gone, (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id")) & (F.col("nul") == F.col("_nul")), "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugemill.llm.common import materialize, row_key, table, word_count
+from gaugemill.llm.common import boxed, materialize, row_key, table, unboxed, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -92,7 +92,7 @@ def fold_sql(id_type: str) -> str:
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """Per row of docs(doc_id, source, text): doc_id, source, key, size, source_size, target, copies (int), taken."""
-    rows = materialize(docs.select("doc_id", "source", row_key(docs, "doc_id", "text", "source", "lang", "n_chars").alias("key"), word_count(F.col("text")).alias("size")), "mix-rows")
+    rows = materialize(docs.select("doc_id", "source", row_key(docs).alias("key"), word_count(F.col("text")).alias("size")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     t = materialize(targets(sizes, weights, share, most).select(F.col("source").alias("_src"), "rank", "source_size", "n", "target"), "mix-targets")
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(1.0)
@@ -129,11 +129,11 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs as the mix takes them: a document with two copies comes twice, one with none goes."""
     wanted = mix(docs, **how).groupBy("key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
     wanted = materialize(wanted, "mix-wanted")
-    keyed = docs.withColumn("_key", row_key(docs, "doc_id", "text", "source", "lang", "n_chars"))
+    keyed = boxed(docs)
     if wanted.where("_n > 1").limit(1).count():
         keyed = keyed.dropDuplicates(["_key"])
     out = keyed.join(wanted.where("_copies > 0").withColumnRenamed("key", "_key"), "_key")
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    return unboxed(out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 from gaugemill.llm.bytewise import as_bytes
-from gaugemill.llm.common import materialize, row_key, table
+from gaugemill.llm.common import boxed, materialize, row_key, table, unboxed
 from gaugemill.llm.components import roots
 
 SHINGLE = 3
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "fp": fp})
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row_key(docs, "doc_id", "text", "lang", "source", "n_chars").alias("key"), "text")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row_key(docs).alias("key"), "text")
     return rows.mapInPandas(work, "doc_id string, key long, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -196,7 +196,7 @@ def sketches(docs: DataFrame, shingle: int, shards: int, kept: int) -> DataFrame
                 out.append((doc_id, key, xxh3_64_intdigest(as_bytes(text)) - (1 << 63), _signed(majority(hashes)), least[:shards].view(np.int64).tolist() or [0], least.tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "key", "node", "fp", "shards", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row_key(docs, "doc_id", "text", "lang", "source", "n_chars").alias("key"), "text")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row_key(docs).alias("key"), "text")
     return rows.mapInPandas(work, "doc_id string, key long, node long, fp long, shards array<long>, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -270,11 +270,11 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     found = similar_documents(docs, **how)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nul"), F.col("doc_id"), F.col("key"))).alias("x"))
     keep = materialize(first.select(F.col("x.key").alias("_keep")), "similar-keep")
-    keyed = docs.withColumn("_key", row_key(docs, "doc_id", "text", "lang", "source", "n_chars"))
+    keyed = boxed(docs)
     kept = keyed.join(keep, F.col("_key") == F.col("_keep"), "left_semi")
     if found.groupBy("key").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["_key"])
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return unboxed(kept)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,7 +88,7 @@ def document_anchors(texts: list[bytes], length: int, gram: int) -> Iterator[tup
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").isNull().alias("nul"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"), row_key(docs, "doc_id", "text", "lang", "source", "n_chars").alias("key"), "text")
+    return docs.select(F.col("doc_id").isNull().alias("nul"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"), row_key(docs).alias("key"), "text")
 
 
 def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
