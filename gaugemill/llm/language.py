@@ -42,8 +42,11 @@ LETTER = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each trigram of the joined texts, whether it holds a letter, and the offsets of the texts."""
-    b = LETTER[np.frombuffer(b"  ".join(texts) + b"    ", np.uint8)]
+    """Bucket of each trigram of the joined texts, whether it holds a letter, and the offsets of the texts.
+
+    Two blanks stand before each text and belong to it, so no trigram has letters of two texts.
+    """
+    b = LETTER[np.frombuffer(b"  " + b"  ".join(texts) + b"  ", np.uint8)]
     bucket = ((b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA6B)) ^ (b[2:] * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F) >> np.uint32(16)
     return bucket, (b[:-2] != 32) | (b[1:-1] != 32) | (b[2:] != 32), np.cumsum([0, *(len(t) + 2 for t in texts)])
 
