@@ -35,6 +35,10 @@ HOT = 256
 BITS = 64
 SEED = 42
 RUN = 1 << 16
+#: Shards of up to so many fingerprints are searched one by one.
+PLAIN = 48
+NOTHING = np.uint64((1 << 64) - 1)
+FIRST = 24
 #: For documents whose five-word shingle sets resemble each other: least similarity, bits that may differ then, shards of a text, hashes kept.
 SIMILARITY, WIDE, SHARDS, KEPT = 0.8, 18, 5, 128
 
@@ -92,21 +96,81 @@ class BKTree:
         return found
 
 
-def linked(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links that join what the pairs within the radius join: each value to the first of its cluster."""
-    tree, parent = BKTree(), list(range(len(values)))
+class PackedBKTree:
+    """The same tree over an array of values, built and searched level by level for all values at once.
+
+    A child's edge and its parent make one key; the keys are sorted, so the edges within the radius are a range of them.
+    """
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = values
+        n = values.size
+        parent, edge = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        at, rest = np.zeros(n, np.int64), np.arange(1, n)
+        while rest.size:  # those at one node with one distance: the first becomes its child, the others go on there
+            d = np.bitwise_count(values[rest] ^ values[at[rest]]).astype(np.int64)
+            _, first, which = np.unique(at[rest] * (BITS + 1) + d, return_index=True, return_inverse=True)
+            child = rest[first][which]
+            parent[rest[first]], edge[rest[first]] = at[rest[first]], d[first]
+            at[rest] = child
+            rest = rest[child != rest]
+        keys = parent[1:] * (BITS + 1) + edge[1:]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.children = keys[order], order + 1
+
+    def pairs(self, radius: int, block: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(i, j), i > j, of values at most radius apart; queries go in blocks, so that the frontier stays bounded."""
+        n = self.values.size
+        start = 0
+        while start < n:  # the first batches are small, as those after them gain by what they join
+            step = max(1, min(block, (start + 16) * 64) // n)
+            query = np.arange(start, min(n, start + step))
+            start += step
+            node = np.zeros(query.size, np.int64)
+            while query.size:
+                d = np.bitwise_count(self.values[query] ^ self.values[node]).astype(np.int64)
+                hit = (d <= radius) & (query > node)
+                yield query[hit], node[hit]
+                low = np.searchsorted(self.keys, node * (BITS + 1) + np.maximum(d - radius, 0))
+                high = np.searchsorted(self.keys, node * (BITS + 1) + np.minimum(d + radius, BITS), side="right")
+                times = high - low
+                query = np.repeat(query, times)
+                offset = np.arange(query.size) - np.repeat(np.cumsum(times) - times, times)
+                node = self.children[np.repeat(low, times) + offset]
+
+
+def close_pairs(values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i > j, of values at most radius apart, through a BK-tree, batch by batch."""
+    if values.size > PLAIN:
+        yield from PackedBKTree(values).pairs(radius)
+        return
+    tree, found = BKTree(), []
+    for i, value in enumerate(values.tolist()):
+        found += [(i, j) for j in tree.within(value, radius)]
+        tree.add(value)
+    yield tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
+
+def stars(values: np.ndarray, radius: int, nodes: list[int], agree=None) -> list[tuple[int, int]]:
+    """Links from each node to the first of its cluster: pairs within the radius that agree form it; joined pairs aren't asked again."""
+    parent = list(range(len(nodes)))
 
     def top(i: int) -> int:
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
         return i
 
-    for i, value in enumerate(values):
-        for j in tree.within(value, radius):
-            a, b = sorted((top(i), top(j)))
-            parent[b] = a
-        tree.add(value)
-    return [(values[i], values[top(i)]) for i in range(len(values)) if top(i) != i]
+    for i, j in close_pairs(values, radius):
+        if agree and i.size:
+            label = np.array([top(k) for k in range(len(nodes))])
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            ok = agree(i, j)
+            i, j = i[ok], j[ok]
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = top(x), top(y)
+            parent[max(a, b)] = min(a, b)
+    return [(nodes[i], nodes[t]) for i in range(len(nodes)) if (t := top(i)) != i]
 
 
 def _blocks(bits: Column, low: int, high: int, parts: int) -> Column:
@@ -143,10 +207,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFram
             out = []
             for a, b in zip(heads.tolist(), ends.tolist(), strict=True):
                 if b - a > 1:
-                    out += linked(fp[a:b].view(np.uint64).tolist(), radius)
+                    out += stars(fp[a:b].view(np.uint64), radius, fp[a:b].tolist())
             done = ends[-1] if ends.size else 0
             shard, fp = shard[done:], fp[done:]
-            yield pd.DataFrame(np.array(out, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
+            yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "shard").sortWithinPartitions("shard", "fp").mapInPandas(search, "a long, b long")
@@ -200,29 +264,37 @@ def sketches(docs: DataFrame, shingle: int, shards: int, kept: int) -> DataFrame
     return rows.mapInPandas(work, "doc_id string, key long, node long, fp long, shards array<long>, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def resemblance(a: np.ndarray, b: np.ndarray, kept: int) -> float:
-    """Jaccard similarity of two sets from their least hashes; exact while the union has no more than kept."""
-    both = np.union1d(a, b)[:kept]
-    return np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True).size / both.size if both.size else 1.0
+def sketch_matrix(sketches_: list[bytes], kept: int) -> np.ndarray:
+    out = np.full((len(sketches_), kept), NOTHING)
+    for row, raw in zip(out, sketches_, strict=True):
+        row[: len(raw) // 8] = np.frombuffer(raw, np.uint64)
+    return out
 
 
-def linked_similar(nodes: list[int], fps: list[int], sets: list[bytes], radius: int, similarity: float, kept: int) -> list[tuple[int, int]]:
-    """Links within one shard: a BK-tree proposes, sketches decide; pairs that are already joined are not compared."""
-    tree, parent = BKTree(), list(range(len(nodes)))
-    sketch = [np.frombuffer(x, np.uint64) for x in sets]
+def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarities of pairs of sets from rows of their least hashes; exact while a union has no more than a row."""
+    kept = a.shape[1]
+    both = np.sort(np.concatenate((a, b), axis=1), axis=1)
+    real = both != NOTHING
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    among = np.arange(2 * kept) - again.cumsum(axis=1) < kept  # of the least ones of the union
+    union = (real & ~again & among).sum(axis=1)
+    return np.where(union > 0, (again & among).sum(axis=1) / np.maximum(union, 1), 1.0)
 
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
 
-    for i, fp in enumerate(fps):
-        for j in tree.within(fp, radius):
-            a, b = sorted((top(i), top(j)))
-            if a != b and resemblance(sketch[i], sketch[j], kept) >= similarity:
-                parent[b] = a
-        tree.add(fp)
-    return [(nodes[i], nodes[top(i)]) for i in range(len(nodes)) if top(i) != i]
+def agreeing(matrix: np.ndarray, similarity: float):
+    """A test of pairs of rows for similarity. A first look at FIRST hashes leaves out what is far below it."""
+
+    def agree(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(i.size, bool)
+        for at in range(0, i.size, 1 << 13):
+            x, y = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
+            near = np.flatnonzero(resemblance(matrix[x, :FIRST], matrix[y, :FIRST]) >= similarity - 0.4)
+            out[at + near] = resemblance(matrix[x[near]], matrix[y[near]]) >= similarity
+        return out
+
+    return agree
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, radius: int = WIDE, shards: int = SHARDS, kept: int = KEPT, hot: int = 16 * HOT) -> DataFrame:
@@ -254,7 +326,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIM
             for a, b in zip(heads[:-1], heads[1:], strict=True):
                 if b - a > 1:
                     x = part.iloc[a:b]
-                    out += linked_similar(x["node"].tolist(), x["fp"].to_numpy(np.int64).view(np.uint64).tolist(), x["sketch"].tolist(), radius, similarity, kept)
+                    out += stars(x["fp"].to_numpy(np.int64).view(np.uint64), radius, x["node"].tolist(), agreeing(sketch_matrix(x["sketch"].tolist(), kept), similarity))
             yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

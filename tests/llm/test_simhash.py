@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from xxhash import xxh64_intdigest
 
 from gaugemill.llm import simhash as s
@@ -71,6 +72,16 @@ def test_tree_finds_all_within_the_radius():
         assert sorted(tree.within(q, 3)) == [i for i, v in enumerate(values) if (v ^ q).bit_count() <= 3]
 
 
+def test_packed_tree_finds_the_same_pairs():
+    rnd = np.random.default_rng(2)
+    values = rnd.integers(0, 1 << 14, 400).astype(np.uint64)
+    want = {(i, j) for i in range(400) for j in range(i) if int(values[i] ^ values[j]).bit_count() <= 3}
+    for block in (1000, 1 << 19):
+        got = [p for i, j in s.PackedBKTree(values).pairs(3, block) for p in zip(i.tolist(), j.tolist())]
+        assert len(got) == len(want) and set(got) == want
+    assert {p for i, j in s.close_pairs(values[:40], 3) for p in zip(i.tolist(), j.tolist())} == {(i, j) for i, j in want if i < 40}
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100, 160)]
     star = [(1, i) for i in range(2, 60)]
@@ -111,8 +122,11 @@ def test_near_copies_go_and_others_stay(make):
 
 
 def test_resemblance():
-    import numpy as np
-
-    a, b = np.arange(0, 100, dtype=np.uint64), np.arange(20, 120, dtype=np.uint64)
-    assert s.resemblance(a, b, 128) == 80 / 120
-    assert s.resemblance(a[:0], b[:0], 128) == 1.0
+    sets = [set(range(100)), set(range(20, 120)), set(range(5)), set(range(3, 8)), set(), set(range(1000)), set(range(100, 1100))]
+    m = s.sketch_matrix([np.array(sorted(x)[:128], np.uint64).tobytes() for x in sets], 128)
+    i, j = np.triu_indices(len(sets))
+    got = s.resemblance(m[i], m[j])
+    for a, b, x in zip(i, j, got):
+        both = sorted(sets[a] | sets[b])[:128]
+        assert x == (len(sets[a] & sets[b] & set(both)) / len(both) if both else 1.0)
+    assert s.agreeing(m, 0.5)(i, j).tolist() == [x >= 0.5 for x in got]
