@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from gaugemill.llm.bytewise import WORD_BYTE, Prefix, mixed, pieces, spans
 from gaugemill.llm.common import table
 
-FIT_ROWS = 6000
+FIT_ROWS = 4000
 TERMS = 4096
 VOTERS = 96
 #: Least log-likelihood ratio of a feature that is used: about one in 10,000 by chance.
@@ -40,6 +40,7 @@ BUCKET_BITS = 21
 PREFIXES = (4, 5, 6, 7, 8, 9)
 DENSE = 0.01
 CUT = 0.3
+MOST_SHIFT = 3.0
 #: Patterns and the bucket each of them has to itself at the end of the table.
 PATTERNS = ("!!", "***", "$$$", "%%%", "shout", "stutter")
 BUCKETS = 1 << BUCKET_BITS
@@ -62,40 +63,35 @@ def _stutters(text: str) -> bool:
     return any(a == b == c for a, b, c in zip(words, words[1:], words[2:], strict=False))
 
 
-def marks(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, bucket) of every occurrence of a mark, piece by piece; and the number of words of each text."""
-    low = [(t or "").lower().encode() for t in texts]
-    docs, buckets, n_words = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.zeros(len(texts))
-    for a, b in pieces([len(t) for t in low]):
-        data = WORD_BYTE[np.frombuffer(b" ".join(low[a:b]) + b" ", np.uint8)]
-        starts, ends = spans(data != 0)
-        if starts.size:
-            doc = a + np.searchsorted(np.cumsum([len(t) + 1 for t in low[a:b]]), starts, side="right")
-            n_words[a:b] = np.bincount(doc - a, minlength=b - a)
-            h = Prefix(data)
-            for k in (0, *PREFIXES):
-                ok = slice(None) if not k else ends - starts >= k
-                s, e = starts[ok], ends[ok] if not k else starts[ok] + k
-                docs.append(doc[ok])
-                buckets.append((mixed(h(s, e) + np.uint64(k)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
-    for i, t in enumerate(texts):
-        if found := patterns(t or ""):
-            docs.append(np.full(len(found), i))
-            buckets.append(np.array(found))
-    return np.concatenate(docs), np.concatenate(buckets), n_words
+def marks(low: list[bytes], used: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, bucket) of every occurrence of a word or prefix that is used; and the number of words of each text."""
+    data = WORD_BYTE[np.frombuffer(b" ".join(low) + b" ", np.uint8)]
+    starts, ends = spans(data != 0)
+    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in low]), starts, side="right")
+    docs, buckets, h = [], [], Prefix(data)
+    for k in (0, *PREFIXES):
+        ok = slice(None) if not k else ends - starts >= k
+        s, e = starts[ok], ends[ok] if not k else starts[ok] + k
+        bucket = (mixed(h(s, e) + np.uint64(k)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        keep = slice(None) if used is None else used[bucket]
+        docs.append(doc[ok][keep])
+        buckets.append(bucket[keep])
+    return np.concatenate(docs), np.concatenate(buckets), np.bincount(doc, minlength=len(low))
 
 
 def features(texts: list[str | None], used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature), each pair once and in order; used: which marks matter, or None for all."""
-    docs, buckets, n_words = marks(texts)
-    if used is not None:
-        ok = used[buckets]
-        docs, buckets = docs[ok], buckets[ok]
-    pair, times = np.unique((docs << 32) | buckets, return_counts=True)
-    docs, buckets = pair >> 32, pair & 0xFFFFFFFF
-    feature = [buckets * KINDS, (buckets * KINDS + 1)[times > 1], (buckets * KINDS + 2)[times >= DENSE * n_words[docs]]]
-    docs = [docs, docs[times > 1], docs[times >= DENSE * n_words[docs]]]
-    pair = np.sort((np.concatenate(docs) << 32) | np.concatenate(feature))
+    """(text number, feature), each pair once and in order, found piece by piece; used: which marks matter, or None for all."""
+    low = [(t or "").lower().encode() for t in texts]
+    out = [np.empty(0, np.int64)]
+    for a, b in pieces([len(t) for t in low]):
+        docs, buckets, n_words = marks(low[a:b], used)
+        found = [(i, x) for i in range(b - a) for x in patterns(texts[a + i] or "") if used is None or used[x]]
+        docs, buckets = np.append(docs, [i for i, _ in found]).astype(np.int64), np.append(buckets, [x for _, x in found]).astype(np.int64)
+        pair, times = np.unique((docs << 32) | buckets, return_counts=True)
+        docs, feature = pair >> 32, (pair & 0xFFFFFFFF) * KINDS
+        kinds = [np.ones(times.size, bool), times > 1, times >= DENSE * n_words[docs]]
+        out.append(np.sort(np.concatenate([((docs[k] + a) << 32) | (feature[k] + i) for i, k in enumerate(kinds)])))
+    pair = np.concatenate(out)
     return pair >> 32, pair & 0xFFFFFFFF
 
 
@@ -155,27 +151,59 @@ def surprise(on: np.ndarray, off: np.ndarray, n_on: float, n_off: float) -> np.n
     return 2 * (share * np.log(np.where(share > 0, share / np.maximum(even, 1e-12), 1))).sum(axis=0)
 
 
-def train(rows: list[tuple[int, np.ndarray]], terms: int = TERMS, voters: int = VOTERS) -> Model:
-    """rows: (label, distinct features) of each fitting row."""
+def train(rows: list[tuple[int, np.ndarray]]) -> Model:
+    """rows: (label, distinct features) of each fitting row.
+
+    The intercept is then moved so that CUT lies where rows that a half of the fitting rows has not seen are told apart best.
+    """
+    model, margins, given = train_once(rows), [], []
+    for fold in (0, 1) if model.buckets.size else ():
+        half = train_once(rows[fold::2])
+        weights = half.table()
+        margins += [float(weights[x].sum()) + half.intercept for _, x in rows[1 - fold :: 2]]
+        given += [y for y, _ in rows[1 - fold :: 2]]
+    model.intercept += shift(np.array(margins), np.array(given)) if margins else 0.0
+    return model
+
+
+def shift(margins: np.ndarray, given: np.ndarray) -> float:
+    """What to add to margins so that logit(CUT) is in the middle of the cuts with the best sum of both classes' rates."""
+    order = np.argsort(margins, kind="stable")
+    m, y = margins[order], given[order] > 0
+    if not y.any() or y.all():
+        return 0.0
+    gain = np.cumsum(~y) / (~y).sum() - np.cumsum(y) / y.sum()  # with the cut after each place
+    best = np.flatnonzero(gain[:-1] >= gain[:-1].max() - 1e-12) if m.size > 1 else np.empty(0, int)
+    if not best.size:
+        return 0.0
+    cut = (m[best[0]] + m[best[-1] + 1]) / 2
+    return float(np.clip(np.log(CUT / (1 - CUT)) - cut, -MOST_SHIFT, MOST_SHIFT))
+
+
+def train_once(rows: list[tuple[int, np.ndarray]], terms: int = TERMS, voters: int = VOTERS) -> Model:
     given = np.array([y for y, _ in rows], float)
     if not len(rows) or given.min() == given.max():
         share = np.clip(given.mean() if len(rows) else 0, 1e-9, 1 - 1e-9)
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))))
-    docs = np.repeat(np.arange(len(rows)), [len(x) for _, x in rows])
-    buckets = np.concatenate([x for _, x in rows])
-    size, hits = MARKS * KINDS, given[docs]
-    on, off = np.bincount(buckets, hits, size), np.bincount(buckets, 1 - hits, size)
-    clear = surprise(on, off, given.sum(), (1 - given).sum())
-    z = np.where(on / given.sum() > off / (1 - given).sum(), clear, -clear)
-    best = np.argsort(-clear, kind="stable")[:terms]
-    best = best[clear[best] >= CLEAR]
+    size = MARKS * KINDS
+    counts = np.zeros((2, size), np.float32)
+    for y, x in rows:
+        counts[int(y > 0)][x] += 1
+    clear = np.zeros(size, np.float32)
+    for at in range(0, size, 1 << 18):
+        off, on = counts[:, at : at + (1 << 18)].astype(float)
+        clear[at : at + (1 << 18)] = surprise(on, off, given.sum(), (1 - given).sum())
+    best = np.flatnonzero(clear >= CLEAR)
+    best = best[np.argsort(-clear[best], kind="stable")[:terms]]
     best = np.union1d(best, np.arange(BUCKETS * KINDS, size))
-    place = np.full(size, -1)
+    off, on = counts[:, best]
+    z = np.where(on / given.sum() > off / (1 - given).sum(), clear[best], -clear[best])
+    place = np.full(size, -1, np.int32)
     place[best] = np.arange(best.size)
-    ok = place[buckets] >= 0
-    docs, cols = docs[ok], place[buckets[ok]]
-    lexicon = np.argsort(-z[best], kind="stable")[:voters]
-    chosen = np.union1d(lexicon[z[best][lexicon] > 0], np.flatnonzero(best >= BUCKETS * KINDS))
+    columns = [p[p >= 0] for p in (place[x] for _, x in rows)]
+    docs, cols = np.repeat(np.arange(len(rows)), [x.size for x in columns]), np.concatenate(columns)
+    lexicon = np.argsort(-z, kind="stable")[:voters]
+    chosen = np.union1d(lexicon[z[lexicon] > 0], np.flatnonzero(best >= BUCKETS * KINDS))
     votes = np.zeros((len(rows), best.size), bool)
     votes[docs, cols] = True
     target, _, _ = label_model(votes[:, chosen], given)
@@ -197,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     found = docs.join(first, F.col("doc_id") == F.col("_id")).select("_id", "_y", "text").mapInPandas(distinct, "id long, y int, x binary")
     got = found.orderBy(F.xxhash64("id"), "id", "x").limit(rows).collect()
-    return train([(r.y, np.frombuffer(r.x, np.int32).astype(np.int64)) for r in got])
+    return train([(r.y, np.frombuffer(r.x, np.int32)) for r in got])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
