@@ -288,8 +288,8 @@ def agreeing(matrix: np.ndarray, similarity: float):
 
     def agree(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = np.zeros(i.size, bool)
-        for at in range(0, i.size, 1 << 13):
-            x, y = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
+        for at in range(0, i.size, 1 << 12):
+            x, y = i[at : at + (1 << 12)], j[at : at + (1 << 12)]
             near = np.flatnonzero(resemblance(matrix[x, :FIRST], matrix[y, :FIRST]) >= similarity - 0.4)
             out[at + near] = resemblance(matrix[x[near]], matrix[y[near]]) >= similarity
         return out
