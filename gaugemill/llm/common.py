@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Words of the mixing and fingerprint contracts: runs without ASCII white space.
 SPACE_WORDS = r"[^\x20\x09-\x0D]+"
+#: The most that is sent to all tasks for a join with documents.
+SMALL_ROWS, SMALL_BYTES = 200_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,5 +65,11 @@ def few_rows(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
+def sent_if_small(df: DataFrame, row_bytes: Column, rows: int = SMALL_ROWS, total: int = SMALL_BYTES) -> DataFrame:
+    """df, marked to be broadcast if it has been counted and is within both bounds; otherwise the join is left to shuffles."""
+    small = few_rows(df, rows) and (df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0) <= total
+    return F.broadcast(df) if small else df
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORDS)), F.lit(0)).cast("long")

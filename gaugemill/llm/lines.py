@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest, xxh128_digest
 
-from gaugemill.llm.common import materialize, row_key, table
+from gaugemill.llm.common import materialize, row_key, sent_if_small, table
 
 RUN = 4
 DOC = ["nul", "id", "key"]
@@ -99,7 +99,7 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     gone = later_windows(hashed, run).groupBy(*DOC).agg(F.sort_array(F.collect_set("start")).alias("starts"))
     gone = materialize(gone.select(F.col("nul").alias("_nul"), F.col("id").alias("_id"), F.col("key").alias("_key"), "starts"), "lines-gone")
     rows = docs.select(F.col("doc_id").isNull().alias("nul"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"), row_key(docs).alias("key"), "text")
-    joined = rows.join(gone, (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id")) & (F.col("nul") == F.col("_nul")), "left")
+    joined = rows.join(sent_if_small(gone, F.size("starts") * 4), (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id")) & (F.col("nul") == F.col("_nul")), "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
