@@ -4,14 +4,14 @@ Of the 32-byte strings within each LENGTH bytes, the one with the smallest hash
 have equal anchors at the same place, and two or so anchors in 400 bytes stand for all suffixes. An anchor's context reaches
 as far as any such string about it. Contexts that are equal as a whole (hot groups of copies) are counted first,
 with partial aggregation, and one of each kind goes on; anchors with only one context are done. The different contexts of an anchor come together
-with their bytes and are sorted twice: by what stands before the anchor, whose branchings give the starts at which
-matches can begin, and then, for all these starts, as suffixes. Two suffixes are compared through
+with their bytes and are sorted twice: as suffixes from the anchor on, and by what stands before the anchor, whose
+branchings give the starts at which matches can begin. Two suffixes are compared through
 prefix polynomial hashes: a binary search over lengths finds the common extension in some nine steps, in a merge sort that handles
 all groups at once. Neighbours in the order that share LENGTH bytes or more are repeats; each is verified byte by byte, and
 if hashes had erred the piece is sorted again by its bytes.
 
-An anchor with more than MOST different contexts isn't sorted in one task: its windows of LENGTH bytes are dealt out by a
-128-bit hash and counted, which gives the same spans.
+An anchor with more than MOST different contexts isn't sorted in one task: slices of its contexts, and where slices differ their strings
+of LENGTH bytes, are dealt out by a 128-bit hash and counted, which gives the same spans.
 
 Defined cases: text is judged as UTF-8 bytes, null as none. Overlapping occurrences count, also within a document; no
 match crosses documents. Documents shorter than LENGTH are matched by nothing. Equal rows are documents of their own, so
@@ -30,13 +30,12 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from gaugemill.llm.bytewise import PIECE, Prefix, as_bytes, mixed, pieces, spans
-from gaugemill.llm.common import few_rows, materialize, row_key, table
+from gaugemill.llm.common import materialize, row_key, sent_if_small, table
 
 LENGTH = 400
 GRAM = 32
-MOST = 8192
-#: Up to so many rows, and bytes of positions, of documents are sent to all tasks; more are joined by a shuffle.
-SMALL_ROWS, SMALL_BYTES = 200_000, 32 << 20
+MOST = 4096
+CLASSES = 8
 PLACE_BITS = 26
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
 DOC = ["nul", "id", "key"]
@@ -118,9 +117,8 @@ def by_document(rows: DataFrame, what: list[str], name: str) -> DataFrame:
 
 def with_items(docs: DataFrame, items: DataFrame, item_bytes: int, how: str) -> DataFrame:
     """docs joined with their items, which are sent to all tasks only if they are few."""
-    small = few_rows(items, SMALL_ROWS) and (items.agg(F.sum(F.size("items"))).first()[0] or 0) * item_bytes <= SMALL_BYTES
     on = (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id")) & (F.col("nul") == F.col("_nul"))
-    return docs.join(F.broadcast(items) if small else items, on, how)
+    return docs.join(sent_if_small(items, F.size("items") * item_bytes), on, how)
 
 
 class Contexts:
@@ -192,48 +190,83 @@ def branch_depths(order: np.ndarray, group: np.ndarray, shared: np.ndarray) -> t
                 stack.append(d)
                 items += [o[k]] * len(stack)
                 depths += stack
-    pair = np.unique((np.array(items, np.int64) << 16) | np.array(depths, np.int64))
-    return pair >> 16, pair & 0xFFFF
+    pair = np.unique((np.array(items, np.int64) << 32) | np.array(depths, np.int64))
+    return pair >> 32, pair & 0xFFFFFFFF
+
+
+def class_starts(shared: np.ndarray, place: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """First place in the order from which on all up to place share at least depth; shared is below 0 where a group begins."""
+    table, start, n = [shared], place.copy(), 1
+    while n < shared.size:
+        last = table[-1]
+        table.append(np.minimum(last, np.concatenate((np.full(n, -1), last[:-n]))))
+        n *= 2
+    for level in range(len(table) - 1, -1, -1):  # least of the 2 ** level values up to a place
+        start = np.where(table[level][start] >= depth, start - (1 << level), start)
+    return start
 
 
 def repeats(texts: list[bytes], before: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, from, to): spans of each context, relative to its anchor, that recur in another context of its group."""
+    """(context, from, to): spans of each context, relative to its anchor, that recur in another context of its group.
+
+    The suffixes at the anchors are sorted, and so are the texts before the anchors, read backwards. A match can begin
+    where some context branches off from another one to the left; of the suffixes that begin there and have the same
+    bytes up to the anchor, the order is that of the suffixes at their anchors, so these are not compared again.
+    """
     c = Contexts(texts, before, group)
-    left = c.anchor - c.start
+    left, right = c.anchor - c.start, c.end - c.anchor
+
+    def back(i, j):
+        return c.common(c.anchor[i], c.anchor[j], np.minimum(left[i], left[j]), True)
+
+    def ahead(i, j):
+        return c.common(c.anchor[i], c.anchor[j], np.minimum(right[i], right[j]), False)
 
     def left_less(i, j):
-        n = c.common(c.anchor[i], c.anchor[j], np.minimum(left[i], left[j]), True)
+        n = back(i, j)
         x, y = c.anchor[i] - n - 1, c.anchor[j] - n - 1
-        return np.where(n == left[i], n < left[j], (n < left[j]) & (c.data[x] < c.data[np.maximum(y, 0)]))
+        return np.where(n == left[i], n < left[j], (n < left[j]) & (c.data[np.maximum(x, 0)] < c.data[np.maximum(y, 0)]))
+
+    def right_less(i, j):
+        n, top = ahead(i, j), c.data.size - 1
+        x, y = c.anchor[i] + n, c.anchor[j] + n
+        return np.where(n == right[i], n < right[j], (n < right[j]) & (c.data[np.minimum(x, top)] < c.data[np.minimum(y, top)]))
+
+    def neighbours(order, extension):
+        a, b = order[:-1], order[1:]
+        return np.concatenate(([-1], np.where(group[a] == group[b], extension(a, b), -1)))
 
+    def most(order, shared):
+        out = np.empty(order.size, np.int64)
+        out[order] = np.maximum(shared, np.append(shared[1:], -1))
+        return out
+
+    ordered = merge_sort(group, right_less)
+    rank, most_right = np.empty(group.size, np.int64), most(ordered, neighbours(ordered, ahead))
+    rank[ordered] = np.arange(group.size)
     order = merge_sort(group, left_less)
-    a, b = order[:-1], order[1:]
-    shared = np.concatenate(([0], np.where(group[a] == group[b], c.common(c.anchor[a], c.anchor[b], np.minimum(left[a], left[b]), True), 0)))
+    shared = neighbours(order, back)
+    use = most(order, shared) + most_right >= length
     item, depth = branch_depths(order, group, shared)
+    ok = use[item] & (depth + most_right[item] >= length)
+    item, depth = item[ok], depth[ok]
     if not item.size:
         return item, item, item
-    by = np.lexsort((item, depth, group[item]))
-    item, depth = item[by], depth[by]
-    start, end = c.anchor[item] - depth, c.end[item]
-    cls = np.cumsum(np.concatenate(([0], (np.diff(group[item]) != 0) | (np.diff(depth) != 0))))
-    room = end - start
-
-    def less(i, j):
-        n = c.common(start[i], start[j], np.minimum(room[i], room[j]), False)
-        x, y = start[i] + n, start[j] + n
-        top = c.data.size - 1
-        return np.where(n == room[i], n < room[j], (n < room[j]) & (c.data[np.minimum(x, top)] < c.data[np.minimum(y, top)]))
-
-    order = merge_sort(cls, less)
-    a, b = order[:-1], order[1:]
-    same = np.where(cls[a] == cls[b], c.common(start[a], start[b], np.minimum(room[a], room[b]), False), 0)
-    hit = np.flatnonzero(same >= length)
-    x, y, n = start[a[hit]], start[b[hit]], same[hit]
+    place = np.empty(group.size, np.int64)
+    place[order] = np.arange(group.size)
+    start = class_starts(shared, place[item], depth)
+    by = np.lexsort((rank[item], depth, start))
+    item, depth, start = item[by], depth[by], start[by]
+    pair = np.flatnonzero((start[1:] == start[:-1]) & (depth[1:] == depth[:-1]))
+    a, b, d = item[pair], item[pair + 1], depth[pair]
+    n = d + ahead(a, b)
+    hit = n >= length
+    a, b, d, n = a[hit], b[hit], d[hit], n[hit]
+    x, y = c.anchor[a] - d, c.anchor[b] - d
     if any(c.text[i : i + k] != c.text[j : j + k] for i, j, k in zip(x.tolist(), y.tolist(), n.tolist(), strict=True)):
         return repeats_by_bytes(texts, before, group, length)
-    who = np.concatenate((item[a[hit]], item[b[hit]]))
-    since = -np.concatenate((depth[a[hit]], depth[b[hit]]))
-    return who, since, since + np.concatenate((n, n))
+    since = np.concatenate((-d, -d))
+    return np.concatenate((a, b)), since, since + np.concatenate((n, n))
 
 
 def repeats_by_bytes(texts: list[bytes], before: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -277,19 +310,56 @@ def sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInPandas(work, f"{DOC_TYPES}, since int, upto int")
 
 
-def counted_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: windows are dealt out by their hash and counted."""
+def class_slices(size: int, before: int, length: int, gram: int, classes: int = CLASSES) -> Iterator[tuple[int, int, int, int, int]]:
+    """(class, from, to, core from, core to) for a context of size bytes: its strings of length bytes fall into classes by
+    how far before the anchor they begin; [from, to) holds all of a class, the core is what they have in common."""
+    steps = length - gram + 1
+    for c in range(classes):
+        low, high = steps * c // classes, steps * (c + 1) // classes - 1
+        near, far = max(low, before + length - size), min(high, before)  # strings have to lie in the context
+        if near <= far:  # then what is common to the whole class does, too
+            yield c, before - far, before - near + length, before - low, before - high + length
+
+
+def counted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """What sorted_spans() gives, for anchors with very many contexts, with nothing brought together but counts.
+
+    The strings of a context that begin within some 46 bytes of each other are taken as one slice. Slices that are equal
+    as a whole are repeats. Of the others only those whose core (all but some 46 bytes) recurs go on; their strings
+    are dealt out by a 128-bit hash and counted one by one.
+    """
+    of = [*DOC, "pos", "before"]
+    place = lambda *c: F.struct(*DOC, *c)
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i, (pos, before, text) in enumerate(batch[["pos", "before", "bytes"]].itertuples(index=False)):
-                n = max(0, len(text) - length + 1)
-                if n:
-                    yield pd.DataFrame({"window": [xxh3_128_digest(text[s : s + length]) for s in range(n)], **{c: [batch[c].iloc[i]] * n for c in DOC}, "alone": [batch["alone"].iloc[i]] * n, "since": np.arange(pos - before, pos - before + n, dtype=np.int32)})
+            out = []
+            for nul, i, key, pos, before, alone, text in batch[[*of, "alone", "bytes"]].itertuples(index=False):
+                for c, a, b, x, y in class_slices(len(text), before, length, gram):
+                    out.append((c, xxh3_128_digest(text[x:y] + bytes((c,))), xxh3_128_digest(text[a:b]), nul, i, key, pos, before, alone, pos - before + a, pos - before + b))
+            yield pd.DataFrame(out, columns=["c", "core", "slice", *of, "alone", "since", "upto"])
 
-    seen = materialize(contexts.mapInPandas(windows, f"window binary, {DOC_TYPES}, alone boolean, since int"), "suffix-windows")
-    again = seen.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return seen.where("alone").join(again, "window", "left_semi").select(*DOC, "since", (F.col("since") + length).cast("int").alias("upto"))
+    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for nul, i, key, pos, before, c, alone, text in batch[[*of, "c", "alone", "bytes"]].itertuples(index=False):
+                for k, a, b, _, _ in class_slices(len(text), before, length, gram):
+                    if k == c:
+                        out += [(xxh3_128_digest(text[s : s + length]), nul, i, key, alone, pos - before + s) for s in range(a, b - length + 1)]
+            yield pd.DataFrame(out, columns=["window", *DOC, "alone", "since"])
+
+    cut = materialize(contexts.mapInPandas(slices, f"c int, core binary, slice binary, {DOC_TYPES}, pos int, before int, alone boolean, since int, upto int"), "suffix-slices")
+    # contexts overlap, so a slice may come twice from one place; only different places count
+    kinds = cut.groupBy("core", "slice").agg(F.min(place("since")).alias("first"), F.max(place("since")).alias("last"), F.max("alone").alias("alone"), F.min(place("pos", "before", "c")).alias("one"))
+    kinds = materialize(kinds.withColumn("again", F.col("first") != F.col("last")), "suffix-slice-kinds")
+    whole = cut.where("alone").join(kinds.where("again").select("core", "slice"), ["core", "slice"], "left_semi").select(*DOC, "since", "upto")
+    shared = kinds.groupBy("core").agg(F.count("*").alias("n"), F.max(F.col("alone") & ~F.col("again")).alias("open")).where("n > 1 and open").select("core")
+    wanted = kinds.join(shared, "core", "left_semi").select("one.*", (F.col("alone") & ~F.col("again")).alias("alone"))
+    pieces_ = contexts.select(*of, "bytes").dropDuplicates(of).join(wanted, of)
+    seen = materialize(pieces_.mapInPandas(strings, f"window binary, {DOC_TYPES}, alone boolean, since int"), "suffix-windows")
+    again = seen.groupBy("window").agg(F.min(place("since")).alias("first"), F.max(place("since")).alias("last")).where("first <> last").select("window")
+    single = seen.where("alone").join(again, "window", "left_semi").select(*DOC, "since", (F.col("since") + length).cast("int").alias("upto"))
+    return whole.unionByName(single)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
@@ -316,7 +386,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     contexts = materialize(joined.select(*DOC, "text", "items").mapInPandas(cut, f"anchor long, many boolean, {DOC_TYPES}, pos int, before int, alone boolean, bytes binary"), "suffix-bytes")
     out = copies.unionByName(sorted_spans(contexts.where("not many"), length))
     if contexts.where("many").limit(1).count():
-        out = out.unionByName(counted_spans(contexts.where("many"), length))
+        out = out.unionByName(counted_spans(contexts.where("many"), length, gram))
     return out
 
 
