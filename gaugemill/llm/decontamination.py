@@ -1,6 +1,6 @@
 """Find benchmark passages in documents with a distributed positional inverted index.
 
-build_index() tokenises the documents segment by segment (about 2 MB of text each, never part of a document) and stores, for
+build_index() tokenises the documents segment by segment (about 4 MB of text each, never part of a document) and stores, for
 every word of a segment, the ascending list of its positions; between documents the positions leave a gap, so no phrase crosses one. search()
 reads only the lists of words that the benchmark has, brings those of a segment together, and intersects for each window the
 lists less their offsets, beginning with the word that is rarest there. proximity() uses the same lists for words within a
@@ -31,6 +31,7 @@ from gaugemill.llm.common import boxed, materialize, row_key, table, unboxed
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
+SEGMENT = 4 << 20
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 INDEX = "seg long, word string, positions binary, ids binary, nulls binary, keys binary, words binary"
 
@@ -59,8 +60,9 @@ def postings(texts: list[bytes]) -> tuple[dict[bytes, np.ndarray], np.ndarray]:
         for s, e, p in zip(starts, ends, at, strict=True):
             out.setdefault(data[s:e], []).append(p)
         return {w: np.array(p, np.int32) for w, p in out.items()}, counts
-    lists = np.split(at[order], heads[1:])
-    return {data[s:e]: p for s, e, p in zip(starts[order[heads]], ends[order[heads]], lists, strict=True)}, counts
+    at, bounds = at[order], [*heads.tolist(), at.size]
+    words = zip(starts[order[heads]].tolist(), ends[order[heads]].tolist(), bounds[:-1], bounds[1:], strict=True)
+    return {data[s:e]: at[x:y] for s, e, x, y in words}, counts
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def build_index(docs: DataFrame) -> DataFrame:
             texts = [as_bytes(t) for t in batch["text"]]
             nulls = batch["doc_id"].isna().to_numpy()
             ids, keys = batch["doc_id"].fillna(0).to_numpy(np.int64), batch["key"].to_numpy(np.int64)
-            for a, b in pieces([len(t) for t in texts]):
+            for a, b in pieces([len(t) for t in texts], SEGMENT):
                 lists, counts = postings(texts[a:b])
                 out = pd.DataFrame({"word": [w.decode() for w in lists], "positions": [p.tobytes() for p in lists.values()]})
                 head = {"ids": ids[a:b].tobytes(), "nulls": nulls[a:b].tobytes(), "keys": keys[a:b].tobytes(), "words": counts.tobytes()}
@@ -98,7 +100,7 @@ def phrase(lists: dict[str, np.ndarray], words: tuple[str, ...]) -> np.ndarray:
     """Positions at which the words stand one after another: lists less their offsets, the shortest first."""
     if any(w not in lists for w in words):
         return np.empty(0, np.int32)
-    terms = sorted(enumerate(words), key=lambda x: lists[x[1]].size)
+    terms = sorted(enumerate(words), key=lambda x: len(lists[x[1]]))
     offset, word = terms[0]
     found = lists[word] - offset
     for offset, word in terms[1:]:
