@@ -1,6 +1,6 @@
 """Find benchmark passages in documents with a distributed positional inverted index.
 
-build_index() tokenises the documents segment by segment (about 4 MB of text each, never part of a document) and stores, for
+build_index() tokenises the documents segment by segment (about 2 MB of text each, never part of a document) and stores, for
 every word of a segment, the ascending list of its positions; between documents the positions leave a gap, so no phrase crosses one. search()
 reads only the lists of words that the benchmark has, brings those of a segment together, and intersects for each window the
 lists less their offsets, beginning with the word that is rarest there. proximity() uses the same lists for words within a
@@ -31,7 +31,7 @@ from gaugemill.llm.common import boxed, materialize, row_key, table, unboxed
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 INDEX = "seg long, word string, positions binary, ids binary, nulls binary, keys binary, words binary"
 
