@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 from gaugemill.llm.bytewise import as_bytes
-from gaugemill.llm.common import boxed, materialize, row_key, table, unboxed
+from gaugemill.llm.common import boxed, materialize, row_key, sent_if_small, table, unboxed
 from gaugemill.llm.components import roots
 
 SHINGLE = 3
@@ -41,6 +41,8 @@ NOTHING = np.uint64((1 << 64) - 1)
 FIRST = 24
 #: For documents whose five-word shingle sets resemble each other: least similarity, bits that may differ then, shards of a text, hashes kept.
 SIMILARITY, WIDE, SHARDS, KEPT = 0.8, 18, 5, 128
+#: The estimate from which a pair is put to the test; one of 0.8 is estimated lower with a chance of about 1e-6.
+LOW = 0.6
 
 _hash = partial(xxh64_intdigest, seed=SEED)
 
@@ -249,19 +251,20 @@ def _signed(x: int) -> int:
 
 
 def sketches(docs: DataFrame, shingle: int, shards: int, kept: int) -> DataFrame:
-    """doc_id, key, node (hash of the text), fp, shards (least shingle hashes) and sketch (binary: the kept least ones)."""
+    """doc_id, key, node (hash of the text), size (of its shingle set), fp, shards (least shingle hashes) and sketch (binary: the kept least ones)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc_id, key, text in batch.itertuples(index=False):
                 hashes = shingle_hashes(text, shingle)
-                least = np.unique(hashes)[:kept]
-                out.append((doc_id, key, xxh3_64_intdigest(as_bytes(text)) - (1 << 63), _signed(majority(hashes)), least[:shards].view(np.int64).tolist() or [0], least.tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "key", "node", "fp", "shards", "sketch"])
+                every = np.unique(hashes)
+                least = every[:kept]
+                out.append((doc_id, key, xxh3_64_intdigest(as_bytes(text)) - (1 << 63), every.size, _signed(majority(hashes)), least[:shards].view(np.int64).tolist() or [0], least.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "key", "node", "size", "fp", "shards", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row_key(docs).alias("key"), "text")
-    return rows.mapInPandas(work, "doc_id string, key long, node long, fp long, shards array<long>, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInPandas(work, "doc_id string, key long, node long, size int, fp long, shards array<long>, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def sketch_matrix(sketches_: list[bytes], kept: int) -> np.ndarray:
@@ -297,41 +300,139 @@ def agreeing(matrix: np.ndarray, similarity: float):
     return agree
 
 
+def reaches(common: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of a and b members with so many in common are that similar; empty ones are."""
+    union = a + b - common
+    return np.where(union > 0, common / np.maximum(union, 1), 1.0) >= similarity
+
+
+def near_in_size(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    return np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6
+
+
+def proposals(fp: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, shard: np.ndarray, nodes: list[int], similarity: float, radius: int, shards: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Of one shard's texts: links between those whose sets are whole in their sketches, and whether a text has a pair that only whole sets decide.
+
+    A pair is looked at in the first shard that it shares. Sizes too far apart rule it out, and so does an estimate below LOW.
+    """
+    kept, first = matrix.shape[1], matrix[:, :shards]
+    whole, unsure = sizes <= kept, np.zeros(len(nodes), bool)
+    label, out = np.arange(len(nodes)), []
+    proposed = agreeing(matrix, min(LOW, similarity))
+    for i, j in close_pairs(fp, radius):
+        known = whole[i] & whole[j]
+        ask = near_in_size(sizes[i], sizes[j], similarity) & np.where(known, label[i] != label[j], ~(unsure[i] & unsure[j]))
+        i, j, known = i[ask], j[ask], known[ask]
+        for at in range(0, i.size, 1 << 12):
+            x, y, k = (v[at : at + (1 << 12)] for v in (i, j, known))
+            here = ~((first[x][:, :, None] == first[y][:, None, :]) & (first[x] < shard)[:, :, None]).any(axis=(1, 2))
+            k, x, y = k[here], x[here], y[here]
+            rest = np.flatnonzero(~k & ~(unsure[x] & unsure[y]))
+            rest = rest[proposed(x[rest], y[rest])]
+            unsure[x[rest]] = unsure[y[rest]] = True
+            k &= label[x] != label[y]
+            x, y = x[k], y[k]
+            width = int(max(sizes[x].max(), sizes[y].max())) if x.size else 0
+            both = np.sort(np.concatenate((matrix[x, :width], matrix[y, :width]), axis=1), axis=1)
+            common = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NOTHING)).sum(axis=1)
+            ok = reaches(common, sizes[x], sizes[y], similarity)
+            for a, b in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                if label[a] != label[b]:
+                    label[label == max(label[a], label[b])] = min(label[a], label[b])
+                    out.append((nodes[a], nodes[b]))
+    return out, unsure
+
+
+def exact_links(sets: list[np.ndarray], nodes: list[int], similarity: float, block: int = 1 << 22) -> list[tuple[int, int]]:
+    """Links that join the texts as all pairs of that similarity would; pairs that are joined aren't asked again."""
+    sizes = np.array([x.size for x in sets])
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    values, rank = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, label, out = np.zeros(values.size, bool), np.arange(len(nodes)), []
+    for k in range(1, len(nodes)):
+        near = np.flatnonzero(near_in_size(sizes[:k], sizes[k], similarity))
+        mark[rank[bounds[k] : bounds[k + 1]]] = True
+        for look in (0, 1):  # at one of each class, then at all of those not joined by it
+            asked = near[label[near] != label[k]]
+            if look == 0:
+                asked = asked[np.unique(label[asked], return_index=True)[1]]
+            if not asked.size:
+                break
+            for part in np.split(asked, np.flatnonzero(np.diff(np.cumsum(sizes[asked]) // block)) + 1):
+                common = np.array([], np.int64)
+                if part.size:
+                    found = mark[np.concatenate([rank[bounds[j] : bounds[j + 1]] for j in part.tolist()])]
+                    common = np.add.reduceat(found, np.concatenate(([0], np.cumsum(sizes[part])[:-1])), dtype=np.int64)
+                for j in part[reaches(common, sizes[part], sizes[k], similarity)].tolist():
+                    if label[j] != label[k]:
+                        label[label == max(label[j], label[k])] = min(label[j], label[k])
+                        out.append((nodes[k], nodes[j]))
+        mark[rank[bounds[k] : bounds[k + 1]]] = False
+    return out
+
+
+def by_shard(batches: Iterator[pd.DataFrame]) -> Iterator[list[pd.DataFrame]]:
+    """The shards of two and more rows of batches that are sorted by shard, batch by batch."""
+    rest = None
+    for batch in chain(batches, [None]):
+        part = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if part is None or not len(part):
+            continue
+        s = part["shard"].to_numpy()
+        heads = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
+        if batch is not None:  # the last shard may go on
+            rest, heads = part.iloc[heads[-2] :], heads[:-1]
+        yield [part.iloc[a:b] for a, b in zip(heads[:-1], heads[1:], strict=True) if b - a > 1]
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, radius: int = WIDE, shards: int = SHARDS, kept: int = KEPT, hot: int = 16 * HOT) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, key, component_id, where Jaccard similarity of shingle sets links.
 
     A similarity of 0.8 leaves some ten of 64 bits different, too many for blocks of equal bits. So the shards here are the least
     shingle hashes: texts of similarity s share none of m with a chance of about (1 - s) ** m. Shards with more than hot
-    texts are divided by the texts' other least hashes.
+    texts are divided by the texts' other least hashes. Sketches only propose pairs, but where they hold the whole sets; the sets of
+    the other proposed texts are made again from their text, brought to the shard and compared there.
     """
     rows = materialize(sketches(docs, shingle, shards, kept), "similar-rows")
-    distinct = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("shards").alias("shards"), F.first("sketch").alias("sketch")), "similar-distinct")
-    dealt = distinct.select("node", "shards", F.explode("shards").alias("shard"))
-    counts = dealt.groupBy("shard").count().where("count > 1").select("shard", (F.col("count") > hot).alias("big"))
-    shared = materialize(dealt.join(counts, "shard"), "similar-shared")
-    again = shared.where("big").select("node", "shard", F.explode(F.array_except("shards", F.array("shard"))).alias("other")).select("node", F.xxhash64(F.least("shard", "other"), F.greatest("shard", "other")).alias("shard"))
-    members = shared.where("not big").select("node", "shard").unionByName(again.distinct()).join(distinct.select("node", "fp", "sketch"), "node")
+    distinct = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("size", "fp", "shards", "sketch"))), "similar-distinct")
+    dealt = distinct.select("node", "shards", F.explode("shards").alias("least_hash"))
+    counts = dealt.groupBy("least_hash").count().where("count > 1").select("least_hash", (F.col("count") > hot).alias("big"))
+    shared = materialize(dealt.join(counts, "least_hash"), "similar-shared")
+    again = shared.where("big").select("node", "least_hash", F.explode(F.array_except("shards", F.array("least_hash"))).alias("other")).select("node", F.xxhash64(F.least("least_hash", "other"), F.greatest("least_hash", "other")).alias("shard"), F.lit(0).cast("long").alias("least_hash"))
+    members = shared.where("not big").select("node", F.col("least_hash").alias("shard"), "least_hash").unionByName(again.distinct()).join(distinct.select("node", "size", "fp", "sketch"), "node")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in chain(batches, [None]):
-            part = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if part is None or not len(part):
-                continue
-            s = part["shard"].to_numpy()
-            heads = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
-            if batch is not None:  # the last shard may go on
-                rest, heads = part.iloc[heads[-2] :], heads[:-1]
+    def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for groups in by_shard(batches):
             out = []
-            for a, b in zip(heads[:-1], heads[1:], strict=True):
-                if b - a > 1:
-                    x = part.iloc[a:b]
-                    out += stars(x["fp"].to_numpy(np.int64).view(np.uint64), radius, x["node"].tolist(), agreeing(sketch_matrix(x["sketch"].tolist(), kept), similarity))
+            for x in groups:
+                nodes, shard = x["node"].tolist(), x["shard"].iloc[0]
+                at = x["least_hash"].to_numpy(np.int64).view(np.uint64)[0]
+                linked, unsure = proposals(x["fp"].to_numpy(np.int64).view(np.uint64), x["size"].to_numpy(np.int64), sketch_matrix(x["sketch"].tolist(), kept), at, nodes, similarity, radius, shards)
+                out += [(a, b, shard, False) for a, b in linked]
+                out += [(nodes[k], nodes[k], shard, True) for k in np.flatnonzero(unsure).tolist()]
+            yield pd.DataFrame(out, columns=["a", "b", "shard", "unsure"])
+
+    sorted_by = lambda df: df.repartition(parts, "shard").sortWithinPartitions("shard", "node")
+    found = materialize(sorted_by(members.select("shard", "least_hash", "node", "size", "fp", "sketch")).mapInPandas(propose, "a long, b long, shard long, unsure boolean"), "similar-found")
+    unsure = found.where("unsure").select("shard", F.col("a").alias("node"))
+    wanted = materialize(distinct.join(unsure.select("node").distinct(), "node", "left_semi").select(F.col("key").alias("_key"), "node"), "similar-wanted")
+    texts = docs.select(row_key(docs).alias("key"), "text").join(sent_if_small(wanted, F.lit(16)), F.col("key") == F.col("_key")).select("node", "text").dropDuplicates(["node"])
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "hashes": [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch["text"]]})
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for groups in by_shard(batches):
+            out = []
+            for x in groups:
+                out += exact_links([np.frombuffer(h, np.uint64) for h in x["hashes"]], x["node"].tolist(), similarity)
             yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = members.select("shard", "node", "fp", "sketch").repartition(parts, "shard").sortWithinPartitions("shard", "node").mapInPandas(search, "a long, b long")
-    top = roots(found, "similar-links")
+    sets = texts.mapInPandas(whole, "node long, hashes binary")
+    decided = sorted_by(unsure.join(sets, "node").select("shard", "node", "hashes")).mapInPandas(decide, "a long, b long")
+    top = roots(found.where("not unsure").select("a", "b").unionByName(decided), "similar-links")
     placed = distinct.select("node", "least").join(top, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of = materialize(placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id", "root"), "similar-components")
     return rows.select("doc_id", "key", "node").join(of, "node").select("doc_id", "key", "root", "component_id")

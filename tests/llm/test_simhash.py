@@ -130,3 +130,31 @@ def test_resemblance():
         both = sorted(sets[a] | sets[b])[:128]
         assert x == (len(sets[a] & sets[b] & set(both)) / len(both) if both else 1.0)
     assert s.agreeing(m, 0.5)(i, j).tolist() == [x >= 0.5 for x in got]
+
+
+def test_long_texts_are_linked_by_their_whole_sets(make):
+    """Pairs of 1,000 shingles on both sides of 0.8, where a sketch of 128 hashes often errs."""
+    rnd = random.Random(4)
+    rows, want = [], {}
+    for g in range(40):
+        words = [f"{rnd.getrandbits(40):x}" for _ in range(1004)]
+        more = 245 if g % 2 else 255  # 1000 / 1245 is above 0.8, 1000 / 1255 below
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words, *(f"{rnd.getrandbits(40):x}" for _ in range(more))]))]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g if g % 2 else 2 * g + 1}
+    assert {r.doc_id: r.component_id for r in s.similar_documents(make(rows)).collect()} == want
+
+
+def test_exact_links_equal_brute_force():
+    rnd = np.random.default_rng(1)
+    base = [np.arange(200, dtype=np.uint64) + np.uint64(1000 * g) for g in range(4)]
+    sets = [np.unique(np.where(rnd.random(200) < rnd.choice([0.02, 0.1, 0.2]), rnd.integers(1 << 40, 1 << 50, 200).astype(np.uint64), base[k % 4])) for k in range(60)]
+    want = [(i, j) for i in range(60) for j in range(i) if np.intersect1d(sets[i], sets[j]).size / np.union1d(sets[i], sets[j]).size >= 0.8]
+
+    def groups(links):
+        label = list(range(60))
+        for a, b in links:
+            label = [label[b] if x == label[a] else x for x in label]
+        return sorted(tuple(i for i in range(60) if label[i] == x) for x in set(label))
+
+    for block in (100, 1 << 22):
+        assert groups(s.exact_links(sets, list(range(60)), 0.8, block)) == groups(want)
