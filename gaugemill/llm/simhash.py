@@ -40,7 +40,7 @@ PLAIN = 48
 NOTHING = np.uint64((1 << 64) - 1)
 FIRST = 24
 #: For documents whose five-word shingle sets resemble each other: least similarity, bits that may differ then, shards of a text, hashes kept.
-SIMILARITY, WIDE, SHARDS, KEPT = 0.8, 18, 5, 128
+SIMILARITY, WIDE, SHARDS, KEPT = 0.8, 28, 5, 128
 #: The estimate from which a pair is put to the test; one of 0.8 is estimated lower with a chance of about 1e-6.
 LOW = 0.6
 
@@ -142,7 +142,14 @@ class PackedBKTree:
 
 
 def close_pairs(values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j), i > j, of values at most radius apart, through a BK-tree, batch by batch."""
+    """Places (i, j), i > j, of values at most radius apart, through a BK-tree, batch by batch; compared one by one where the radius is too wide for edges to leave anything out."""
+    if radius > BITS // 4:
+        step = max(1, (1 << 18) // max(1, values.size))
+        for start in range(0, values.size, step):
+            i, j = np.nonzero(np.bitwise_count(values[start : start + step, None] ^ values[None, : start + step]) <= radius)
+            i += start
+            yield i[i > j], j[i > j]
+        return
     if values.size > PLAIN:
         yield from PackedBKTree(values).pairs(radius)
         return
@@ -260,7 +267,7 @@ def sketches(docs: DataFrame, shingle: int, shards: int, kept: int) -> DataFrame
                 hashes = shingle_hashes(text, shingle)
                 every = np.unique(hashes)
                 least = every[:kept]
-                out.append((doc_id, key, xxh3_64_intdigest(as_bytes(text)) - (1 << 63), every.size, _signed(majority(hashes)), least[:shards].view(np.int64).tolist() or [0], least.tobytes()))
+                out.append((doc_id, key, xxh3_64_intdigest(as_bytes(text)) - (1 << 63), every.size, _signed(majority(every)), least[:shards].view(np.int64).tolist() or [0], least.tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "key", "node", "size", "fp", "shards", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row_key(docs).alias("key"), "text")

@@ -158,3 +158,28 @@ def test_exact_links_equal_brute_force():
 
     for block in (100, 1 << 22):
         assert groups(s.exact_links(sets, list(range(60)), 0.8, block)) == groups(want)
+
+
+def test_repeated_passages_do_not_part_equal_sets(make):
+    rnd = random.Random(6)
+    rows = []
+    for g in range(40):
+        words = [f"{rnd.getrandbits(40):x}" for _ in range(100)]
+        page = words[:6]
+        rows += [(2 * g, " ".join(words + page)), (2 * g + 1, " ".join(words + page * 40))]
+    assert {r.doc_id for r in s.one_of_each(make(rows)).collect()} == {2 * g for g in range(40)}
+
+
+def test_the_radius_keeps_similar_sets():
+    """Sets at a similarity of 0.8, large and small, whose fingerprints must lie within the radius."""
+    rnd = np.random.default_rng(3)
+    for n in (4, 8, 100, 1000):
+        for _ in range(2000):
+            x = rnd.integers(0, 1 << 63, n + n // 4, dtype=np.int64).view(np.uint64)
+            assert (s.majority(x[:n]) ^ s.majority(x)).bit_count() <= s.WIDE
+
+
+def test_wide_radius_compares_all():
+    values = np.random.default_rng(2).integers(0, 1 << 62, 700).astype(np.uint64)
+    got = {p for i, j in s.close_pairs(values, 26) for p in zip(i.tolist(), j.tolist())}
+    assert got == {(i, j) for i in range(700) for j in range(i) if int(values[i] ^ values[j]).bit_count() <= 26}
