@@ -41,6 +41,8 @@ NOTHING = np.uint64((1 << 64) - 1)
 FIRST = 24
 #: For documents whose five-word shingle sets resemble each other: least similarity, bits that may differ then, shards of a text, hashes kept.
 SIMILARITY, WIDE, SHARDS, KEPT = 0.8, 28, 5, 128
+#: Shingles of a shard for each of its texts, from which it is large.
+LONG = 1024
 #: The estimate from which a pair is put to the test; one of 0.8 is estimated lower with a chance of about 1e-6.
 LOW = 0.6
 
@@ -258,7 +260,7 @@ def _signed(x: int) -> int:
 
 
 def sketches(docs: DataFrame, shingle: int, shards: int, kept: int) -> DataFrame:
-    """doc_id, key, node (hash of the text), size (of its shingle set), fp, shards (least shingle hashes) and sketch (binary: the kept least ones)."""
+    """doc_id, key, node (hash of the shingle set), size (of that), fp, shards (least shingle hashes) and sketch (binary: the kept least ones)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -267,7 +269,7 @@ def sketches(docs: DataFrame, shingle: int, shards: int, kept: int) -> DataFrame
                 hashes = shingle_hashes(text, shingle)
                 every = np.unique(hashes)
                 least = every[:kept]
-                out.append((doc_id, key, xxh3_64_intdigest(as_bytes(text)) - (1 << 63), every.size, _signed(majority(every)), least[:shards].view(np.int64).tolist() or [0], least.tobytes()))
+                out.append((doc_id, key, xxh3_64_intdigest(every.tobytes()) - (1 << 63), every.size, _signed(majority(every)), least[:shards].view(np.int64).tolist() or [0], least.tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "key", "node", "size", "fp", "shards", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row_key(docs).alias("key"), "text")
@@ -392,21 +394,35 @@ def by_shard(batches: Iterator[pd.DataFrame]) -> Iterator[list[pd.DataFrame]]:
         yield [part.iloc[a:b] for a, b in zip(heads[:-1], heads[1:], strict=True) if b - a > 1]
 
 
+def divided(rows: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """node, shard, least_hash of rows(node, size, least_hash): any two similar sets of a shard meet in one of the shards made of it.
+
+    Sizes of similar sets lie in one class or in two that adjoin, so a cell holds two classes. A cell that is still too large
+    is cut into blocks by hashes of its nodes, and each two blocks make a shard.
+    """
+    size_class = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.lit(float(np.log(1 / similarity) + 1e-6)))
+    cells = rows.withColumn("_class", size_class).withColumn("cell", F.explode(F.array(F.col("_class"), F.col("_class") + 1)))
+    blocks = cells.groupBy("least_hash", "cell").agg(F.ceil(F.greatest(F.count("*") / hot, F.sum("size") / (LONG * hot))).cast("int").alias("blocks"))
+    placed = cells.join(blocks, ["least_hash", "cell"]).withColumn("own", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select("node", F.xxhash64("least_hash", "cell", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "least_hash")
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, radius: int = WIDE, shards: int = SHARDS, kept: int = KEPT, hot: int = 16 * HOT) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, key, component_id, where Jaccard similarity of shingle sets links.
 
     A similarity of 0.8 leaves some ten of 64 bits different, too many for blocks of equal bits. So the shards here are the least
-    shingle hashes: texts of similarity s share none of m with a chance of about (1 - s) ** m. Shards with more than hot
-    texts are divided by the texts' other least hashes. Sketches only propose pairs, but where they hold the whole sets; the sets of
+    shingle hashes: texts of similarity s share none of m with a chance of about (1 - s) ** m. Texts with equal
+    sets are one. Shards with more than hot texts or LONG * hot shingles are divided without loss, see divided(). Sketches only propose pairs, but where they hold the whole sets; the sets of
     the other proposed texts are made again from their text, brought to the shard and compared there.
     """
     rows = materialize(sketches(docs, shingle, shards, kept), "similar-rows")
     distinct = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("size", "fp", "shards", "sketch"))), "similar-distinct")
-    dealt = distinct.select("node", "shards", F.explode("shards").alias("least_hash"))
-    counts = dealt.groupBy("least_hash").count().where("count > 1").select("least_hash", (F.col("count") > hot).alias("big"))
+    dealt = distinct.select("node", "size", F.explode("shards").alias("least_hash"))
+    counts = dealt.groupBy("least_hash").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1").select("least_hash", ((F.col("n") > hot) | (F.col("total") > LONG * hot)).alias("big"))
     shared = materialize(dealt.join(counts, "least_hash"), "similar-shared")
-    again = shared.where("big").select("node", "least_hash", F.explode(F.array_except("shards", F.array("least_hash"))).alias("other")).select("node", F.xxhash64(F.least("least_hash", "other"), F.greatest("least_hash", "other")).alias("shard"), F.lit(0).cast("long").alias("least_hash"))
-    members = shared.where("not big").select("node", F.col("least_hash").alias("shard"), "least_hash").unionByName(again.distinct()).join(distinct.select("node", "size", "fp", "sketch"), "node")
+    small = shared.where("not big").select("node", F.col("least_hash").alias("shard"), "least_hash")
+    members = small.unionByName(divided(shared.where("big"), similarity, hot)).join(distinct.select("node", "size", "fp", "sketch"), "node")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

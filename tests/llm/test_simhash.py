@@ -183,3 +183,22 @@ def test_wide_radius_compares_all():
     values = np.random.default_rng(2).integers(0, 1 << 62, 700).astype(np.uint64)
     got = {p for i, j in s.close_pairs(values, 26) for p in zip(i.tolist(), j.tolist())}
     assert got == {(i, j) for i in range(700) for j in range(i) if int(values[i] ^ values[j]).bit_count() <= 26}
+
+
+def test_large_shards_lose_no_link(make):
+    """Texts of one shingle, whose only hash makes a shard, and texts that share just one least hash with the others of a large shard."""
+    rows = [(i, " " * i + ("one two three" if i % 2 else "One Two THREE")) for i in range(8)] + [(10 + i, "chant " * (5 + i)) for i in range(8)]
+    assert {r.doc_id for r in s.one_of_each(make(rows), hot=2).collect()} == {0, 10}
+
+
+def test_divided_shards_hold_every_similar_pair(spark):
+    rnd = random.Random(7)
+    sizes = [0, 1, 1, 4, 5, *(rnd.randrange(1, 2000) for _ in range(100)), *(rnd.randrange(90, 110) for _ in range(40))]
+    df = spark.createDataFrame([(i, n, 77) for i, n in enumerate(sizes)], "node long, size int, least_hash long")
+    shards = {}
+    for r in s.divided(df, 0.8, 8).collect():
+        assert r.least_hash == 77
+        shards.setdefault(r.shard, set()).add(r.node)
+    together = {(a, b) for x in shards.values() for a in x for b in x}
+    assert all((a, b) in together for a, m in enumerate(sizes) for b, n in enumerate(sizes) if min(m, n) >= 0.8 * max(m, n))
+    assert max(map(len, shards.values())) < 40
