@@ -2,7 +2,8 @@
 
 Text: byte trigrams in 2**16 buckets under a multinomial model for each language, fitted on about FIT_PER_LANGUAGE rows of each
 declared language, chosen by a hash (the only bound; the languages are the declared two- or three-letter codes of at least
-one row in a thousand, so there are at most a thousand). The likelihood is tempered, since trigrams of a text depend on each other.
+LEAST_ROWS rows, whatever their share, and each takes 256 KB of a broadcast). A background, the square roots of all
+languages' counts, smooths each model and stands beside them for any other language and for letters that are none. The likelihood is tempered, since trigrams of a text depend on each other.
 Everything else is counted over all rows by grouped aggregation of the texts' posteriors: how often each language is declared as which,
 which suffixes its addresses have, and which languages a host has. A host's prior, without the row itself, is smoothed by that
 of its domain, and that by the prior over all rows. The posterior is the normalised product of the four.
@@ -10,7 +11,7 @@ of its domain, and that by the prior over all rows. The posterior is the normali
 Only one pass reads texts; it leaves some numbers for each row, and all joins are over these.
 
 Defined cases: a text without letters, null or empty, gives no evidence; such rows are not kept, and their language is
-what the other evidence says. Missing or unsupported declarations, suffixes and hosts give no evidence (a null host is a host
+what the other evidence says. Texts that the background fits best have a null language and are not kept. Missing or unsupported declarations, suffixes and hosts give no evidence (a null host is a host
 of its own). Repeated rows count as often as they come. Without any supported declared language, language is null and
 nothing is kept. An empty table gives an empty result.
 """
@@ -29,9 +30,10 @@ from gaugemill.llm.bytewise import pieces
 from gaugemill.llm.common import boxed, materialize, row_key, table, unboxed
 
 FIT_PER_LANGUAGE = 1000
-LEAST_SHARE = 0.001
 LEAST_ROWS = 5
 BUCKETS = 1 << 16
+#: How many trigrams of the background stand beside those counted for a language.
+BACKGROUND = 1000.0
 TEMPER = 0.25
 MOST_GRAMS = 400
 SMOOTH = 20.0
@@ -61,10 +63,9 @@ def _encoded(texts) -> list[bytes]:
 
 
 def fit(rows: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of the buckets, from rows(key, declared, text)."""
+    """Languages, and log probabilities of the buckets by them and, last, by the background, from rows(key, declared, text)."""
     counts = rows.groupBy("declared").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    found = counts.where(F.col("declared").isNotNull() & (F.col("count") >= max(LEAST_ROWS, LEAST_SHARE * total))).collect()  # at most 1 / LEAST_SHARE
+    found = counts.where(F.col("declared").isNotNull() & (F.col("count") >= LEAST_ROWS)).collect()  # one row for each code
     languages = sorted(r["declared"] for r in found)
     if not languages:
         return [], np.zeros((0, BUCKETS))
@@ -82,9 +83,13 @@ def fit(rows: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> tuple[list[str
                 yield pd.DataFrame({"language": language, "bucket": at, "n": sums[at]})
 
     got = chosen.select("declared", "text").mapInPandas(count, "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS for each language
-    table_ = np.full((len(languages), BUCKETS), 0.5)
-    table_[[languages.index(x) for x in got["language"]], got["bucket"]] += got["n"]
-    return languages, np.log(table_ / table_.sum(axis=1, keepdims=True))
+    place = {x: i for i, x in enumerate(languages)}
+    table_ = np.zeros((len(languages) + 1, BUCKETS))
+    table_[[place[x] for x in got["language"]], got["bucket"]] = got["n"]
+    background = np.sqrt(table_.sum(axis=0) + 0.5)
+    table_ += BACKGROUND * background / background.sum()
+    table_ /= table_.sum(axis=1, keepdims=True)
+    return languages, np.log(table_, out=table_)
 
 
 def read_texts(rows: DataFrame, logs: np.ndarray) -> DataFrame:
@@ -114,7 +119,7 @@ def identify(rows: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> DataFrame
     declared must be a primary subtag or null. Other columns must not be named ll, n, p, or begin with an underscore.
     """
     languages, logs = fit(rows, per_language)
-    size = range(len(languages))
+    size = range(len(logs))
     extra = [c for c in rows.columns if c != "text"]
     if not languages:
         return rows.select(*extra, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("kept"))
@@ -124,7 +129,7 @@ def identify(rows: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> DataFrame
     heard = read.where("n > 0")
     sums = [F.sum(F.col("p")[i]) for i in size]
     every = heard.agg(*sums).first()
-    prior = [((x or 0.0) + 1.0) / (sum(y or 0.0 for y in every) + len(languages)) for x in every]
+    prior = [((x or 0.0) + 1.0) / (sum(y or 0.0 for y in every) + len(logs)) for x in every]
 
     def totals(by: list[str], name: str) -> DataFrame:
         keys = [F.col(c).alias(f"_{name}_{c}") for c in by]
@@ -137,23 +142,26 @@ def identify(rows: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> DataFrame
     out = read
     for by, name in ((["host", "domain"], "host"), (["domain"], "domain"), (["declared"], "stated"), (["suffix"], "suffix")):
         out = joined(out, by, name)
-    zero = F.array(*(F.lit(0.0) for _ in size))
-    at = lambda name, i: F.coalesce(F.col(name), zero)[i]
-    all_of = lambda name: reduce(lambda a, b: a + b, (at(name, i) for i in size))
-    own = F.when(F.col("n") > 0, F.col("p")).otherwise(zero)
-    scores = []
-    for i in size:
-        domain = (F.greatest(at("_domain", i) - at("_host", i), F.lit(0.0)) + SMOOTH * prior[i]) / (F.greatest(all_of("_domain") - all_of("_host"), F.lit(0.0)) + SMOOTH)
-        host = (F.greatest(at("_host", i) - own[i], F.lit(0.0)) + SMOOTH * domain) / (F.greatest(all_of("_host") - F.when(F.col("n") > 0, 1.0).otherwise(0.0), F.lit(0.0)) + SMOOTH)
+    zero, priors = F.array_repeat(F.lit(0.0), len(logs)), F.array(*(F.lit(x) for x in prior))
+    counted = {name: F.coalesce(F.col(name), zero) for name in ("_host", "_domain", "_stated", "_suffix")} | {"_own": F.when(F.col("n") > 0, F.col("p")).otherwise(zero), "_prior": priors}
+    out = out.withColumns(counted)
+    out = out.withColumns({f"{name}_all": F.aggregate(name, F.lit(0.0), lambda s, y: s + y) for name in ("_host", "_domain", "_stated", "_suffix")})
+
+    def score(i: Column) -> Column:
+        at = lambda name: F.get(F.col(name), i)
+        domain = (F.greatest(at("_domain") - at("_host"), F.lit(0.0)) + SMOOTH * at("_prior")) / (F.greatest(F.col("_domain_all") - F.col("_host_all"), F.lit(0.0)) + SMOOTH)
+        host = (F.greatest(at("_host") - at("_own"), F.lit(0.0)) + SMOOTH * domain) / (F.greatest(F.col("_host_all") - F.when(F.col("n") > 0, 1.0).otherwise(0.0), F.lit(0.0)) + SMOOTH)
         # how likely a language is among those who state or have this, against its share of all
-        given = lambda name, i=i: F.log((at(name, i) + SMOOTH * prior[i]) / (all_of(name) + SMOOTH) / F.lit(prior[i]))
+        given = lambda name: F.log((at(name) + SMOOTH * at("_prior")) / (F.col(f"{name}_all") + SMOOTH) / at("_prior"))
         stated = F.when(F.col("declared").isin(languages), given("_stated")).otherwise(0.0)
         suffix = F.when(F.col("suffix").isNotNull(), given("_suffix")).otherwise(0.0)
-        scores.append(F.log(host) + F.col("ll")[i] + stated + suffix)
-    out = out.withColumn("_post", F.array(*scores)).withColumn("_post", normal(soft(F.col("_post"))))
+        return F.log(host) + at("ll") + stated + suffix
+
+    scores = F.transform(F.sequence(F.lit(0), F.lit(len(logs) - 1)), score)
+    out = out.withColumn("_post", scores).withColumn("_post", normal(soft(F.col("_post"))))
     best = F.array_max("_post")
-    name = F.array(*(F.lit(x) for x in languages))[F.array_position("_post", best).cast("int") - 1]
-    return out.select(*extra, name.alias("language"), best.alias("posterior"), ((F.col("n") > 0) & (best >= KEEP)).alias("kept"))
+    name = F.get(F.array(*(F.lit(x) for x in languages), F.lit(None).cast("string")), F.array_position("_post", best).cast("int") - 1)
+    return out.select(*extra, name.alias("language"), best.alias("posterior"), ((F.col("n") > 0) & (best >= KEEP) & name.isNotNull()).alias("kept"))
 
 
 def document_rows(docs: DataFrame) -> DataFrame:

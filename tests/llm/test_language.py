@@ -40,3 +40,14 @@ def test_odd_rows(odd, none, make):
     assert kept.where("text is null or trim(text) = ''").count() == 0
     assert g.identify(g.document_rows(none)).count() == 0 and g.known_language(none).count() == 0
     assert g.known_language(odd).columns == odd.columns
+
+
+def test_rare_languages_count_and_others_are_rejected(make):
+    rare = ["kuningas ja kuningatar olivat talossa jonka me näimme", "talo jossa kuningas oli ja jonka kuningatar näki", "me näimme talon ja kuninkaan jotka olivat siellä"]
+    junk = ["qzxv kjhw wqpz xxkq vvzj qkwx zpqj hxvk wzzq jjkx", "ξένη γλώσσα που δεν δηλώνεται πουθενά εδώ μέσα στο κείμενο"]
+    rows = [(i + 100 * k, t, d, h) for k in range(120) for i, t, d, h in fits(make)]  # 7,200, so six are below one in a thousand
+    rows += [(20000 + i, rare[i % 3] * 3, "fi", "host0") for i in range(6)] + [(30000 + i, t * 3, None, "host0") for i, t in enumerate(junk)]
+    got = {r.doc_id: r for r in g.identify(g.document_rows(make(rows))).where("doc_id >= 20000 or doc_id < 60").collect()}
+    assert all((got[20000 + i].language, got[20000 + i].kept) == ("fi", True) for i in range(6))
+    assert all((got[30000 + i].language, got[30000 + i].kept) == (None, False) for i in range(2))
+    assert all(got[i].kept and got[i].language == ("en" if i % 2 else "fr") for i in range(60))
