@@ -25,8 +25,11 @@ def ceil_div(n: Column, d: Column) -> Column:
 
 
 def parse_tenths(value: Column) -> Column:
-    """Tenths of a well-formed value, null for anything else; never an error."""
-    return F.when(value.rlike(VALUE), F.replace(value, F.lit("."), F.lit("")).try_cast("int"))
+    """Tenths of a well-formed value, null for anything else; never an error.
+
+    A sum, not a branch: both sides are always evaluated, so generated code computes value once for them.
+    """
+    return F.replace(value, F.lit("."), F.lit("")).try_cast("int") + F.when(value.rlike(VALUE), 0)
 
 
 def parse_double(value: Column) -> Column:

@@ -22,6 +22,11 @@ def divergence(measurements: DataFrame) -> DataFrame:
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that one side has more often than the other, with side (left or right)."""
-    tagged = lambda df, side: df.withColumn("side", F.lit(side))
-    return tagged(left.exceptAll(right), "left").unionByName(tagged(right.exceptAll(left), "right"))
+    """Rows that one side has more often than the other, as often as it has them more, with side (left or right).
+
+    Each side is read once: the rows of both are counted together, those of the right side as less than nothing.
+    """
+    counted = lambda df, n: df.select(F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("row"), F.lit(n).alias("n"))
+    more = counted(left, 1).unionAll(counted(right, -1)).groupBy("row").agg(F.sum("n").alias("n")).where("n <> 0")
+    each = more.select("row", F.when(F.col("n") > 0, "left").otherwise("right").alias("side"), F.explode(F.sequence(F.lit(1), F.abs("n"))))
+    return each.select("row.*", "side")

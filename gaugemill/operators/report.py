@@ -16,8 +16,24 @@ def report_lines(stats: DataFrame) -> DataFrame:
 
 def report(stats: DataFrame) -> DataFrame:
     """One row, one string. Its size is that of the keys: use write_report() if they don't fit in a task."""
-    joined = F.expr("listagg(line, ', ') WITHIN GROUP (ORDER BY station)")
-    return report_lines(stats).agg(F.concat(F.lit("{"), F.coalesce(joined, F.lit("")), F.lit("}")).alias("report"))
+    return joined(report_lines(stats))
+
+
+def float_report_lines(stats: DataFrame) -> DataFrame:
+    """station and line out of the rounded doubles of checks.float_stats()."""
+    part = lambda c: format_tenths(F.rint(F.col(c) * 10).cast("long"))
+    return stats.select("station", F.concat("station", F.lit("="), part("mn"), F.lit("/"), part("mean"), F.lit("/"), part("mx")).alias("line"))
+
+
+def joined(lines: DataFrame) -> DataFrame:
+    """The report out of station and line."""
+    all_ = F.expr("listagg(line, ', ') WITHIN GROUP (ORDER BY station)")
+    return lines.agg(F.concat(F.lit("{"), F.coalesce(all_, F.lit("")), F.lit("}")).alias("report"))
+
+
+def float_report(stats: DataFrame) -> DataFrame:
+    """The report of the answer in doubles, printed to one decimal."""
+    return joined(float_report_lines(stats))
 
 
 def write_report(stats: DataFrame, path: str) -> None:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugemill.functions.fixedpoint import mean_tenths
+from gaugemill.functions.fixedpoint import mean_tenths, whole_div
 
 STATE = ["mn", "mx", "s", "c"]
 
@@ -42,8 +42,22 @@ def checksum(measurements: DataFrame) -> DataFrame:
 
 
 def timing_summary(runs: DataFrame, label: str, seconds: str) -> DataFrame:
-    """Median, least, most and number of timings by label."""
-    return runs.groupBy(F.col(label).alias("label")).agg(F.median(seconds).alias("median"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), F.count(seconds).alias("n"))
+    """Median, least, most and number of timings by label, exactly.
+
+    Equal timings of a label are counted first, in partial aggregations; a running count over its different ones finds the middle.
+    For labels with too many different timings for a task there is timing_summary_approx().
+    """
+    counts = runs.groupBy(F.col(label).alias("label"), F.col(seconds).alias("v")).agg(F.count(seconds).alias("times"))
+    label_, so_far = Window.partitionBy("label"), Window.partitionBy("label").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumns({"upto": F.sum("times").over(so_far), "n": F.sum("times").over(label_)})
+    at = lambda rank: F.max(F.when((rank >= F.col("upto") - F.col("times")) & (rank < F.col("upto")), F.col("v")))
+    middle = 0.5 * at(whole_div(F.col("n") - 1, F.lit(2))) + 0.5 * at(whole_div(F.col("n"), F.lit(2)))
+    return placed.groupBy("label").agg(middle.alias("median"), F.min("v").alias("least"), F.max("v").alias("most"), F.max("n").alias("n"))
+
+
+def timing_summary_approx(runs: DataFrame, label: str, seconds: str, accuracy: int = 10_000) -> DataFrame:
+    """As timing_summary(), with a median whose rank is off by at most n / accuracy; its state is a sketch, whatever the label has."""
+    return runs.groupBy(F.col(label).alias("label")).agg(F.percentile_approx(seconds, 0.5, accuracy).alias("median"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), F.count(seconds).alias("n"))
 
 
 def worker_phases(spent: DataFrame) -> DataFrame:

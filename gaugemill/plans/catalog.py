@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugemill.functions.fixedpoint import VALUE, clamp_tenths, format_tenths, length_class, name_bytes, quantise_tenths, whole_div
 from gaugemill.operators import checks, report, stats
 from gaugemill.sources import generator, measurements
 from gaugemill.sources.scratch import scratch_path
-from gaugemill.streaming.stats import drained, stream_table, streaming_stats
+from gaugemill.streaming.stats import drained, stream_lines, stream_table, streaming_stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -143,7 +143,7 @@ def checksum_count_distinct(spark, sf_dir):
     SELECT greatest(st - 1, 0) // 10000 AS chunk, count(*) AS n_rows, min(st) AS first_byte, CAST(max(st + n) AS BIGINT) AS end_byte FROM o GROUP BY 1"""
 )
 def chunk_assignment(spark, sf_dir):
-    return measurements.chunk_bounds(measurements.with_offsets(_event_lines(spark, sf_dir), "event_id"), 10_000)
+    return measurements.chunk_bounds(measurements.with_offsets(_event_lines(spark, sf_dir), "event_id", keep=[]), 10_000)
 
 
 @query("SELECT n_nationkey, n_name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS i, count(*) OVER () AS n FROM nation) WHERE i IN (SELECT k * 25 // 7 FROM range(7) AS r(k))")
@@ -209,10 +209,57 @@ def validation_split(spark, sf_dir):
     return measurements.classified(_event_lines(spark, sf_dir).select(line.alias("value"))).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS station, CAST(NULL AS VARCHAR) AS line, CAST(NULL AS VARCHAR) AS side WHERE FALSE")
+def _difference(left: str, right: str) -> str:
+    return f"SELECT *, 'left' AS side FROM (({left}) EXCEPT ALL ({right})) UNION ALL SELECT *, 'right' AS side FROM (({right}) EXCEPT ALL ({left}))"
+
+
+_LESS = "(SELECT * FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') OR c_custkey % 7 <> 0)"
+
+
+@query(_difference(_lines("c_mktsegment", "c_acctbal", "customer"), _lines("c_mktsegment", "c_acctbal", _LESS)))
 def answers_differ(spark, sf_dir):
-    """The answer from partial states against the direct one: no row differs."""
-    return checks.difference(report.report_lines(partial_final_merge(spark, sf_dir)), report.report_lines(station_stats_negative(spark, sf_dir)))
+    """The answer from partial states against one that lacks some rows of two segments: these two differ, on either side."""
+    less = _table(spark, sf_dir, "customer").where("c_mktsegment NOT IN ('BUILDING', 'MACHINERY') OR c_custkey % 7 <> 0")
+    fewer = stats.station_stats(measurements.from_table(less, "c_mktsegment", "c_acctbal"))
+    return checks.difference(report.report_lines(partial_final_merge(spark, sf_dir)), report.report_lines(fewer))
+
+
+_BY_TWO = "CAST(c_custkey // 2 AS VARCHAR)"
+_FLOAT_LINES = f"""SELECT station, concat(station, '=', {_text('mn')}, '/', {_text('mean')}, '/', {_text('mx')}) AS line
+    FROM (SELECT {_BY_TWO} AS station, CAST(floor(min(v) * 10 + 0.5) AS BIGINT) AS mn, CAST(floor(sum(v) / count(*) * 10 + 0.5) AS BIGINT) AS mean, CAST(floor(max(v) * 10 + 0.5) AS BIGINT) AS mx
+    FROM (SELECT c_custkey, c_acctbal AS v FROM customer) GROUP BY 1)"""
+
+
+def _by_two() -> Column:
+    """Two rows for each key, so that the order of a sum in doubles cannot matter."""
+    return whole_div(F.col("c_custkey"), F.lit(2)).cast("string")
+
+
+@query(f"SELECT concat('{{', coalesce(string_agg(line, ', ' ORDER BY station), ''), '}}') AS report FROM ({_FLOAT_LINES})")
+def float_report(spark, sf_dir):
+    return report.float_report(checks.float_stats(_table(spark, sf_dir, "customer").select(_by_two().alias("station"), F.col("c_acctbal").alias("v"))))
+
+
+@query(_difference(f"SELECT line FROM ({_lines(_BY_TWO, 'c_acctbal', 'customer')})", f"SELECT line FROM ({_FLOAT_LINES})"))
+def reports_differ(spark, sf_dir):
+    """The exact report of tenths against that of cents in doubles, both taken apart again: the entries that differ."""
+    exact = report.report(stats.station_stats(_measured(spark, sf_dir, "customer", _by_two(), "c_acctbal")))
+    return checks.difference(report.split_report(exact), report.split_report(float_report(spark, sf_dir)))
+
+
+@query("SELECT label, n FROM (SELECT event_type AS label, count(value) AS n, min(value) AS least, max(value) AS most FROM events GROUP BY 1) WHERE least <= most")
+def timing_counts_approx(spark, sf_dir):
+    """The approximate summary: its median is tested by rank, here only that it lies between the least and the most."""
+    return stats.timing_summary_approx(_table(spark, sf_dir, "events"), "event_type", "value").where("median BETWEEN least AND most").select("label", "n")
+
+
+@query(
+    """SELECT name, CASE WHEN name IS NULL OR octet_length(encode(name)) NOT BETWEEN 1 AND 100 OR contains(name, ';') OR contains(name, chr(10)) THEN 'bad_name' WHEN bool_or(mean IS NULL OR abs(mean) > 99.9) THEN 'bad_mean' WHEN count(*) > 1 THEN 'repeated_name' END AS fault
+    FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment WHEN c_custkey % 50 = 1 THEN concat(c_name, ';') ELSE c_name END AS name, c_acctbal / 100 AS mean FROM customer) GROUP BY 1 HAVING fault IS NOT NULL"""
+)
+def station_faults(spark, sf_dir):
+    name = F.when(F.col("c_custkey") % 5 == 0, F.col("c_mktsegment")).when(F.col("c_custkey") % 50 == 1, F.concat("c_name", F.lit(";"))).otherwise(F.col("c_name"))
+    return generator.station_faults(_table(spark, sf_dir, "customer").select(name.alias("name"), (F.col("c_acctbal") / 100).alias("mean")))
 
 
 @query(_stats("event_type", "value", "events"))
@@ -220,12 +267,32 @@ def streaming_station_stats(spark, sf_dir):
     return drained(streaming_stats(stream_table(spark, sf_dir, "events"), "event_type", "value"))
 
 
-@query()
+@query(f"SELECT station, mn, {_MEAN} AS mean, mx, s, c FROM (SELECT event_type AS station, CAST(min(t) AS INTEGER) AS mn, CAST(max(t) AS INTEGER) AS mx, CAST(sum(t) AS BIGINT) AS s, count(*) AS c FROM (SELECT event_type, {_SIGNED} AS t FROM events) GROUP BY 1)")
+def streaming_text_stats(spark, sf_dir):
+    """Written as lines of text that end in a carriage return and a line feed, and read as a stream."""
+    path = scratch_path(spark, "stream-lines")
+    _event_lines(spark, sf_dir).select("value").write.option("lineSep", "\r\n").text(path)
+    return drained(streaming_stats(stream_lines(spark, path)))
+
+
+_GENERATED = 200_000
+
+
+def _generated(dimension: str, count: int) -> str:
+    states = f"(SELECT station, min(tenths) AS mn, max(tenths) AS mx, CAST(sum(tenths) AS BIGINT) AS s, count(*) AS c FROM ({generator.sql_rows(_GENERATED, dimension, count)}) GROUP BY 1)"
+    return f"SELECT station, mn, {_MEAN} AS mean, mx, s, c FROM {states}"
+
+
+@query(_generated("SELECT n_nationkey AS number, n_name AS name, n_nationkey * 37 % 450 / 10.0 - 14.4 AS mean FROM nation", 25))
 def generated_stats(spark, sf_dir):
-    return stats.station_stats(generator.generate(spark, 200_000))
+    """Rows about the nations as stations."""
+    n = F.col("n_nationkey")
+    dimension = _table(spark, sf_dir, "nation").select(n.cast("long").alias("number"), F.col("n_name").alias("name"), (n * 37 % 450 / 10 - 14.4).alias("mean"))
+    return stats.station_stats(generator.generate(spark, _GENERATED, dimension=dimension))
 
 
-@query()
+@query(_generated(generator.sql_stations(), generator.STATIONS))
 def generated_source_stats(spark, sf_dir):
+    """Rows of the Python data source, with the stations made by rule."""
     spark.dataSource.register(generator.MeasurementSource)
-    return stats.station_stats(spark.read.format("measurements").option("rows", "200_000").load())
+    return stats.station_stats(spark.read.format("measurements").option("rows", str(_GENERATED)).load())

@@ -1,4 +1,4 @@
-"""Where intermediate files may be written: a folder that driver and executors share."""
+"""Where intermediate files may be written: a folder that driver and executors share, and one of its own for each application."""
 
 from __future__ import annotations
 
@@ -8,9 +8,32 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the context's checkpoint folder; a new local one only in local mode, where executors share the driver's disk."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="gaugemill-"))
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def own_dir(spark: SparkSession) -> str:
+    """What this application writes; no other one's files are in it."""
+    return f"{shared_dir(spark)}/gaugemill/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below a local temporary folder only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gaugemill-"))
-    return f"{(found or spark.sparkContext.getCheckpointDir()).rstrip('/')}/gaugemill/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written; for the caller, once results are stored."""
+    remove(spark, own_dir(spark))

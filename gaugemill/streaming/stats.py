@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugemill.operators.stats import station_stats
-from gaugemill.sources.measurements import from_table, parse
+from gaugemill.sources.measurements import clean_lines, from_table, parse
 from gaugemill.sources.scratch import scratch_path
 
 
@@ -18,7 +18,8 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.option("lineSep", "\n").text(folder).where("value <> ''")
+    """The lines of a folder's text files as a stream, cleaned as read_lines() does."""
+    return clean_lines(spark.readStream.option("lineSep", "\n").text(folder))
 
 
 def streaming_stats(lines_or_rows: DataFrame, key: str | None = None, value: str | None = None, mode: str = "FAILFAST") -> DataFrame:

@@ -8,11 +8,13 @@ def test_query_gives_the_rows_of_its_sql(spark, small, same, name):
     same(QUERIES[name](spark, small), ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_query_without_sql_counts_all_rows(spark, small, name):
-    rows = QUERIES[name](spark, small).collect()
-    assert sum(r.c for r in rows) == 200_000
-    assert all(-999 <= r.mn <= r.mean <= r.mx <= 999 for r in rows)
+def test_every_query_has_sql(spark, small):
+    assert set(QUERIES) == set(ORACLE_SQL)
+
+
+def test_queries_about_differences_find_some(spark, small):
+    for name in ("answers_differ", "reports_differ", "station_faults"):
+        assert QUERIES[name](spark, small).count() > 0
 
 
 def test_entry(spark):
