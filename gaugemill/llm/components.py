@@ -9,7 +9,7 @@ from gaugemill.llm.common import materialize
 
 
 def roots(links: DataFrame, name: str = "components") -> DataFrame:
-    """node, root for every node of links(a, b): root is the smallest node that links reach; nodes are longs.
+    """node, root for every node of links(a, b): root is the smallest node that links reach; nodes are longs or binary.
 
     Large stars and small stars alternate until nothing changes, some log n rounds. Each is a minimum by node and a
     join, so a node with very many links is pre-aggregated and its join is one that Spark can split.

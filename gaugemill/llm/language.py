@@ -1,8 +1,8 @@
 """Language identification by Bayesian fusion of text, declared language, address suffix and host.
 
 Text: byte trigrams in 2**16 buckets under a multinomial model for each language, fitted on about FIT_PER_LANGUAGE rows of each
-declared language, chosen by a hash (the only bound; the languages are the declared two- or three-letter codes of at least
-LEAST_ROWS rows, whatever their share, and each takes 256 KB of a broadcast). A background, the square roots of all
+declared language, chosen by a hash (the only bound; every two- or three-letter code that any row declares is a language). The models
+are broadcast and have at most MOST_CELLS numbers together, so there are fewer buckets if there are over 63 languages. A background, the square roots of all
 languages' counts, smooths each model and stands beside them for any other language and for letters that are none. The likelihood is tempered, since trigrams of a text depend on each other.
 Everything else is counted over all rows by grouped aggregation of the texts' posteriors: how often each language is declared as which,
 which suffixes its addresses have, and which languages a host has. A host's prior, without the row itself, is smoothed by that
@@ -23,15 +23,16 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugemill.llm.bytewise import pieces
-from gaugemill.llm.common import boxed, materialize, row_key, table, unboxed
+from gaugemill.llm.common import boxed, map_pandas, materialize, row_key, table, tidy, unboxed
 
 FIT_PER_LANGUAGE = 1000
-LEAST_ROWS = 5
-BUCKETS = 1 << 16
+#: Buckets by number of bits, and the most numbers that all models have together (16 MB).
+BITS, MOST_CELLS = 16, 1 << 22
 #: How many trigrams of the background stand beside those counted for a language.
 BACKGROUND = 1000.0
 TEMPER = 0.25
@@ -43,13 +44,18 @@ KEEP = 0.5
 LETTER = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def buckets(languages: int) -> int:
+    """How many buckets so many languages and the background have."""
+    return min(1 << BITS, 1 << (MOST_CELLS // (languages + 1)).bit_length() - 1)
+
+
+def grams(texts: list[bytes], n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each trigram of the joined texts, whether it holds a letter, and the offsets of the texts.
 
     Two blanks stand before each text and belong to it, so no trigram has letters of two texts.
     """
     b = LETTER[np.frombuffer(b"  " + b"  ".join(texts) + b"  ", np.uint8)]
-    bucket = ((b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA6B)) ^ (b[2:] * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F) >> np.uint32(16)
+    bucket = ((b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA6B)) ^ (b[2:] * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F) >> np.uint32(33 - n_buckets.bit_length())
     return bucket, (b[:-2] != 32) | (b[1:-1] != 32) | (b[2:] != 32), np.cumsum([0, *(len(t) + 2 for t in texts)])
 
 
@@ -65,27 +71,29 @@ def _encoded(texts) -> list[bytes]:
 def fit(rows: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities of the buckets by them and, last, by the background, from rows(key, declared, text)."""
     counts = rows.groupBy("declared").count()
-    found = counts.where(F.col("declared").isNotNull() & (F.col("count") >= LEAST_ROWS)).collect()  # one row for each code
+    found = counts.where(F.col("declared").isNotNull()).collect()  # one row for each code, of which there are 26 ** 2 + 26 ** 3
     languages = sorted(r["declared"] for r in found)
+    size = buckets(len(languages))
     if not languages:
-        return [], np.zeros((0, BUCKETS))
-    share = F.create_map(*(x for r in found for x in (F.lit(r["declared"]), F.lit(per_language / r["count"]))))
-    chosen = rows.where(F.col("declared").isin(languages)).where(F.pmod(F.xxhash64(F.lit("fit"), "key"), F.lit(1 << 30)) / float(1 << 30) < share[F.col("declared")])
+        return [], np.zeros((0, size))
+    place = {x: i for i, x in enumerate(languages)}
+    known = rows.sparkSession.createDataFrame([(r["declared"], place[r["declared"]], per_language / r["count"]) for r in found], "_code string, _place int, _share double")
+    chosen = rows.join(F.broadcast(known), F.col("declared") == F.col("_code")).where(F.pmod(F.xxhash64(F.lit("fit"), "key"), F.lit(1 << 30)) / float(1 << 30) < F.col("_share"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for language, part in batch.groupby("declared"):
-                texts, sums = _encoded(part["text"]), np.zeros(BUCKETS, np.int64)
+            for language, part in batch.groupby("_place"):
+                texts, sums = _encoded(part["text"]), np.zeros(size, np.int64)
                 for a, b in pieces([len(t) for t in texts]):
-                    bucket, letter, _ = grams(texts[a:b])
-                    sums += np.bincount(bucket[letter], minlength=BUCKETS)
+                    bucket, letter, _ = grams(texts[a:b], size)
+                    sums += np.bincount(bucket[letter], minlength=size)
                 at = np.flatnonzero(sums)
                 yield pd.DataFrame({"language": language, "bucket": at, "n": sums[at]})
 
-    got = chosen.select("declared", "text").mapInPandas(count, "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS for each language
-    place = {x: i for i, x in enumerate(languages)}
-    table_ = np.zeros((len(languages) + 1, BUCKETS))
-    table_[[place[x] for x in got["language"]], got["bucket"]] = got["n"]
+    counted = map_pandas(chosen.select("_place", "text"), count, "language int, bucket int, n long")
+    got = materialize(counted, "language-counts").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most MOST_CELLS rows
+    table_ = np.zeros((len(languages) + 1, size))
+    table_[got["language"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
     background = np.sqrt(table_.sum(axis=0) + 0.5)
     table_ += BACKGROUND * background / background.sum()
     table_ /= table_.sum(axis=1, keepdims=True)
@@ -94,23 +102,24 @@ def fit(rows: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> tuple[list[str
 
 def read_texts(rows: DataFrame, logs: np.ndarray) -> DataFrame:
     """rows without text, but with ll (tempered log likelihoods by language) and n (trigrams with a letter)."""
-    sent = rows.sparkSession.sparkContext.broadcast(logs.astype(np.float32))  # languages x BUCKETS x 4 bytes
+    sent = rows.sparkSession.sparkContext.broadcast(logs.astype(np.float32))  # at most MOST_CELLS x 4 bytes
     names = [c for c in rows.columns if c != "text"]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _encoded(batch["text"])
+            texts = _encoded(batch.column("text").to_pylist())
             n, ll = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(sent.value)))
             for a, b in pieces([len(t) for t in texts]):
-                bucket, letter, starts = grams(texts[a:b])
+                bucket, letter, starts = grams(texts[a:b], sent.value.shape[1])
                 n[a:b] = np.add.reduceat(letter, starts[:-1], dtype=np.int64)
                 for i, logs_of in enumerate(sent.value):
                     ll[a:b, i] = np.add.reduceat(logs_of[bucket] * letter, starts[:-1], dtype=np.float64)
             ll *= (TEMPER * np.minimum(n, MOST_GRAMS) / np.maximum(n, 1))[:, None]
-            yield batch[names].assign(ll=list(ll), n=n)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * ll.shape[1]), pa.array(ll.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists, pa.array(n)], names=[*names, "ll", "n"])
 
-    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "text")
-    return rows.select(*names, "text").mapInPandas(work, f"{kinds}, ll array<double>, n long")
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
+    return rows.select(*names, "text").mapInArrow(tidy(work), f"{kinds}, ll array<double>, n long")
 
 
 def identify(rows: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> DataFrame:

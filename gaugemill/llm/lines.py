@@ -2,9 +2,9 @@
 
 Of every RUN consecutive line hashes of a document the smallest (the last of equal ones) is a fingerprint, so two
 documents that share a run of RUN lines share the fingerprint chosen in it, at the same place. Only fingerprints that occur
-more than once are followed: their positions are joined, and the lines about them, as far as the windows that
-chose them reach in both directions, are compared window by window under 128-bit hashes. Each window is joined to its first occurrence only, never to all others,
-and windows that follow each other extend to maximal runs.
+more than once are followed. The windows about them, as far as those that chose them reach in both directions, are joined under 128-bit
+hashes to the place where each stands first, never to all others; windows that follow each other in both places are
+extended both ways to maximal runs, and these are what is deleted.
 
 A line is deleted if it lies in RUN consecutive lines that also stand earlier: in a document with a smaller doc_id, or
 further up in the same one. This is judged on the input, and what stands first is always kept.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest, xxh128_digest
 
-from gaugemill.llm.common import materialize, row_key, sent_if_small, table
+from gaugemill.llm.common import map_pandas, materialize, short_key, table
 
 RUN = 4
 DOC = ["nul", "id", "key"]
@@ -53,8 +53,8 @@ def line_hashes(docs: DataFrame) -> DataFrame:
             hashes = [np.array([xxh64_intdigest(x) for x in split_lines(t)], np.uint64).tobytes() for t in batch["text"]]
             yield batch[DOC].assign(hashes=hashes)
 
-    rows = docs.select(F.col("doc_id").isNull().alias("nul"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"), row_key(docs).alias("key"), "text")
-    return rows.mapInPandas(work, "nul boolean, id long, key long, hashes binary")
+    rows = docs.select(F.col("doc_id").isNull().alias("nul"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"), short_key(docs).alias("key"), "text")
+    return map_pandas(rows, work, "nul boolean, id long, key long, hashes binary")
 
 
 def later_windows(hashed: DataFrame, run: int = RUN) -> DataFrame:
@@ -76,12 +76,13 @@ def later_windows(hashed: DataFrame, run: int = RUN) -> DataFrame:
                 out += [(xxh128_digest(around[8 * j : 8 * (j + run)]), nul, i, key, start + j) for j in range(len(around) // 8 - run + 1)]
             yield pd.DataFrame(out, columns=["window", *DOC, "start"])
 
-    chosen = materialize(hashed.mapInPandas(choose, "fp long, nul boolean, id long, key long, start int, around binary"), "lines-chosen")
-    shared = chosen.groupBy("fp").count().where("count > 1").select("fp")
-    windows = materialize(chosen.join(shared, "fp", "left_semi").mapInPandas(extend, "window binary, nul boolean, id long, key long, start int"), "lines-windows")
+    chosen = materialize(map_pandas(hashed, choose, "fp long, nul boolean, id long, key long, start int, around binary"), "lines-chosen")
+    shared = materialize(chosen.groupBy("fp").count().where("count > 1").select("fp"), "lines-shared")
+    windows = materialize(map_pandas(chosen.join(shared, "fp", "left_semi"), extend, "window binary, nul boolean, id long, key long, start int"), "lines-windows")
     place = F.struct(*DOC, "start")
     first = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return windows.join(first, "window").where(place > F.col("first")).select(*DOC, "start", "first")
+    # written, so that the join stands between two exchanges and Spark can split a hot window's
+    return windows.join(materialize(first, "lines-first"), "window").where(place > F.col("first")).select(*DOC, "start", "first")
 
 
 def repeated_runs(hashed: DataFrame, run: int = RUN) -> DataFrame:
@@ -96,20 +97,19 @@ def repeated_runs(hashed: DataFrame, run: int = RUN) -> DataFrame:
 def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, text (what is kept), n_lines, n_removed."""
     hashed = materialize(line_hashes(docs), "lines-hashed")
-    gone = later_windows(hashed, run).groupBy(*DOC).agg(F.sort_array(F.collect_set("start")).alias("starts"))
-    gone = materialize(gone.select(F.col("nul").alias("_nul"), F.col("id").alias("_id"), F.col("key").alias("_key"), "starts"), "lines-gone")
-    rows = docs.select(F.col("doc_id").isNull().alias("nul"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"), row_key(docs).alias("key"), "text")
-    joined = rows.join(sent_if_small(gone, F.size("starts") * 4), (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id")) & (F.col("nul") == F.col("_nul")), "left")
+    gone = repeated_runs(hashed, run).groupBy(*(F.col(c).alias(f"_{c}") for c in DOC)).agg(F.collect_set(F.struct("start", "n_lines")).alias("runs"))
+    rows = docs.select(F.col("doc_id").isNull().alias("nul"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"), short_key(docs).alias("key"), "text")
+    joined = rows.join(materialize(gone, "lines-gone"), (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id")) & (F.col("nul") == F.col("_nul")), "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for nul, i, text, starts in batch[["nul", "id", "text", "starts"]].itertuples(index=False):
+            for nul, i, text, runs in batch[["nul", "id", "text", "runs"]].itertuples(index=False):
                 lines, kept = split_lines(text), text
-                if starts is not None and len(starts):
+                if runs is not None and len(runs):
                     edge = np.zeros(len(lines) + 1, np.int32)
-                    np.add.at(edge, np.asarray(starts), 1)
-                    np.add.at(edge, np.asarray(starts) + run, -1)
+                    np.add.at(edge, [x["start"] for x in runs], 1)
+                    np.add.at(edge, [x["start"] + x["n_lines"] for x in runs], -1)
                     stay = [x for x, n in zip(lines, edge.cumsum(), strict=False) if not n]
                     n_removed, kept = len(lines) - len(stay), "\n".join(stay)
                 else:
@@ -117,13 +117,13 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
                 out.append((None if nul else str(i), kept, len(lines), n_removed))
             yield pd.DataFrame(out, columns=["doc_id", "text", "n_lines", "n_removed"])
 
-    cut_rows = joined.select("nul", "id", "text", "starts").mapInPandas(cut, "doc_id string, text string, n_lines long, n_removed long")
+    cut_rows = map_pandas(joined.select("nul", "id", "text", "runs"), cut, "doc_id string, text string, n_lines long, n_removed long")
     return cut_rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicated(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return materialize(found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")), "lines")
 
 
 OP3_SQL = """

@@ -23,10 +23,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from gaugemill.llm.bytewise import as_bytes
-from gaugemill.llm.common import boxed, materialize, row_key, sent_if_small, table, unboxed
+from gaugemill.llm.common import boxed, map_pandas, materialize, row_key, sent_if_small, table, unboxed
 from gaugemill.llm.components import roots
 
 SHINGLE = 3
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "fp": fp})
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row_key(docs).alias("key"), "text")
-    return rows.mapInPandas(work, "doc_id string, key long, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return map_pandas(rows, work, "doc_id string, key binary, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 class BKTree:
@@ -162,7 +162,7 @@ def close_pairs(values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, n
     yield tuple(np.array(found, np.int64).reshape(-1, 2).T)
 
 
-def stars(values: np.ndarray, radius: int, nodes: list[int], agree=None) -> list[tuple[int, int]]:
+def stars(values: np.ndarray, radius: int, nodes: list, agree=None) -> list[tuple[int, int]]:
     """Links from each node to the first of its cluster: pairs within the radius that agree form it; joined pairs aren't asked again."""
     parent = list(range(len(nodes)))
 
@@ -224,7 +224,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFram
             yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "shard").sortWithinPartitions("shard", "fp").mapInPandas(search, "a long, b long")
+    return map_pandas(rows.repartition(parts, "shard").sortWithinPartitions("shard", "fp"), search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
@@ -260,7 +260,7 @@ def _signed(x: int) -> int:
 
 
 def sketches(docs: DataFrame, shingle: int, shards: int, kept: int) -> DataFrame:
-    """doc_id, key, node (hash of the shingle set), size (of that), fp, shards (least shingle hashes) and sketch (binary: the kept least ones)."""
+    """doc_id, key, node (128-bit hash of the shingle set), size (of that), fp, shards (least shingle hashes) and sketch (binary: the kept least ones)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -269,11 +269,11 @@ def sketches(docs: DataFrame, shingle: int, shards: int, kept: int) -> DataFrame
                 hashes = shingle_hashes(text, shingle)
                 every = np.unique(hashes)
                 least = every[:kept]
-                out.append((doc_id, key, xxh3_64_intdigest(every.tobytes()) - (1 << 63), every.size, _signed(majority(every)), least[:shards].view(np.int64).tolist() or [0], least.tobytes()))
+                out.append((doc_id, key, xxh3_128_digest(every.tobytes()), every.size, _signed(majority(every)), least[:shards].view(np.int64).tolist() or [0], least.tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "key", "node", "size", "fp", "shards", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row_key(docs).alias("key"), "text")
-    return rows.mapInPandas(work, "doc_id string, key long, node long, size int, fp long, shards array<long>, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return map_pandas(rows, work, "doc_id string, key binary, node binary, size int, fp long, shards array<long>, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def sketch_matrix(sketches_: list[bytes], kept: int) -> np.ndarray:
@@ -319,7 +319,7 @@ def near_in_size(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     return np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6
 
 
-def proposals(fp: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, shard: np.ndarray, nodes: list[int], similarity: float, radius: int, shards: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+def proposals(fp: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, shard: np.ndarray, nodes: list, similarity: float, radius: int, shards: int) -> tuple[list[tuple], np.ndarray]:
     """Of one shard's texts: links between those whose sets are whole in their sketches, and whether a text has a pair that only whole sets decide.
 
     A pair is looked at in the first shard that it shares. Sizes too far apart rule it out, and so does an estimate below LOW.
@@ -352,7 +352,7 @@ def proposals(fp: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, shard: np.n
     return out, unsure
 
 
-def exact_links(sets: list[np.ndarray], nodes: list[int], similarity: float, block: int = 1 << 22) -> list[tuple[int, int]]:
+def exact_links(sets: list[np.ndarray], nodes: list, similarity: float, block: int = 1 << 22) -> list[tuple[int, int]]:
     """Links that join the texts as all pairs of that similarity would; pairs that are joined aren't asked again."""
     sizes = np.array([x.size for x in sets])
     bounds = np.concatenate(([0], np.cumsum(sizes)))
@@ -437,10 +437,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIM
             yield pd.DataFrame(out, columns=["a", "b", "shard", "unsure"])
 
     sorted_by = lambda df: df.repartition(parts, "shard").sortWithinPartitions("shard", "node")
-    found = materialize(sorted_by(members.select("shard", "least_hash", "node", "size", "fp", "sketch")).mapInPandas(propose, "a long, b long, shard long, unsure boolean"), "similar-found")
+    found = materialize(map_pandas(sorted_by(members.select("shard", "least_hash", "node", "size", "fp", "sketch")), propose, "a binary, b binary, shard long, unsure boolean"), "similar-found")
     unsure = found.where("unsure").select("shard", F.col("a").alias("node"))
     wanted = materialize(distinct.join(unsure.select("node").distinct(), "node", "left_semi").select(F.col("key").alias("_key"), "node"), "similar-wanted")
-    texts = docs.select(row_key(docs).alias("key"), "text").join(sent_if_small(wanted, F.lit(16)), F.col("key") == F.col("_key")).select("node", "text").dropDuplicates(["node"])
+    texts = docs.select(row_key(docs).alias("key"), "text").join(sent_if_small(wanted, F.lit(128)), F.col("key") == F.col("_key")).select("node", "text").dropDuplicates(["node"])
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -451,10 +451,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIM
             out = []
             for x in groups:
                 out += exact_links([np.frombuffer(h, np.uint64) for h in x["hashes"]], x["node"].tolist(), similarity)
-            yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+            yield pd.DataFrame(out, columns=["a", "b"])
 
-    sets = texts.mapInPandas(whole, "node long, hashes binary")
-    decided = sorted_by(unsure.join(sets, "node").select("shard", "node", "hashes")).mapInPandas(decide, "a long, b long")
+    sets = map_pandas(texts, whole, "node binary, hashes binary")
+    decided = map_pandas(sorted_by(unsure.join(sets, "node").select("shard", "node", "hashes")), decide, "a binary, b binary")
     top = roots(found.where("not unsure").select("a", "b").unionByName(decided), "similar-links")
     placed = distinct.select("node", "least").join(top, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of = materialize(placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id", "root"), "similar-components")

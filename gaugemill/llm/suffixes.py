@@ -2,16 +2,18 @@
 
 Of the 32-byte strings within each LENGTH bytes, the one with the smallest hash is an anchor, so equal strings of LENGTH bytes
 have equal anchors at the same place, and two or so anchors in 400 bytes stand for all suffixes. An anchor's context reaches
-as far as any such string about it. Contexts that are equal as a whole (hot groups of copies) are counted first,
-with partial aggregation, and one of each kind goes on; anchors with only one context are done. The different contexts of an anchor come together
+as far as any such string about it. Contexts that are equal as a whole (hot groups of copies), told by a 128-bit cut of their SHA-256,
+are counted first, with partial aggregation, and one of each kind goes on; anchors with only one context are done. The different contexts of an anchor come together
 with their bytes and are sorted twice: as suffixes from the anchor on, and by what stands before the anchor, whose
 branchings give the starts at which matches can begin. Two suffixes are compared through
 prefix polynomial hashes: a binary search over lengths finds the common extension in some nine steps, in a merge sort that handles
-all groups at once. Neighbours in the order that share LENGTH bytes or more are repeats; each is verified byte by byte, and
-if hashes had erred the piece is sorted again by its bytes.
+all groups at once. Neighbours in the order that share LENGTH bytes or more are repeats. Every two neighbours of both orders are
+verified by their bytes, what they share and which comes first, and so is every repeat; if hashes had erred the piece is done again by its bytes.
 
 An anchor with more than MOST different contexts isn't sorted in one task: slices of its contexts, and where slices differ their strings
-of LENGTH bytes, are dealt out by a 128-bit hash and counted, which gives the same spans.
+of LENGTH bytes, are dealt out by a 128-bit cut of their SHA-256 and counted, which gives the same spans.
+
+Texts are shuffled twice, to be joined with the positions that are wanted of them, at every size alike; nothing is broadcast.
 
 Defined cases: text is judged as UTF-8 bytes, null as none. Overlapping occurrences count, also within a document; no
 match crosses documents. Documents shorter than LENGTH are matched by nothing. Equal rows are documents of their own, so
@@ -27,12 +29,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
 
 from gaugemill.llm.bytewise import PIECE, Prefix, as_bytes, mixed, pieces, spans
-from gaugemill.llm.common import materialize, row_key, sent_if_small, table
+from gaugemill.llm.common import drop, map_pandas, materialize, short_key, table
 
 LENGTH = 400
+#: About so many bytes of contexts are given on at once.
+OUT_BYTES = 8 << 20
 GRAM = 32
 MOST = 4096
 CLASSES = 8
@@ -87,7 +90,11 @@ def document_anchors(texts: list[bytes], length: int, gram: int) -> Iterator[tup
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").isNull().alias("nul"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"), row_key(docs).alias("key"), "text")
+    return docs.select(F.col("doc_id").isNull().alias("nul"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"), short_key(docs).alias("key"), "text")
+
+
+def digest(text: bytes) -> bytes:
+    return hashlib.sha256(text).digest()[:16]
 
 
 def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -100,13 +107,13 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for i, place, h in document_anchors(texts, length, gram):
                 text = texts[i]
                 left, right = np.minimum(place, length - gram), np.minimum(len(text) - place, length)
-                context = b"".join([xxh3_128_digest(text[p - x : p + y]) for p, x, y in zip(place.tolist(), left.tolist(), right.tolist(), strict=True)])
+                context = b"".join([digest(text[p - x : p + y]) for p, x, y in zip(place.tolist(), left.tolist(), right.tolist(), strict=True)])
                 two = np.frombuffer(context, np.int64).reshape(-1, 2)
                 out.append(pd.DataFrame({"anchor": h, "c1": two[:, 0] ^ left, "c2": two[:, 1], "nul": nul[i], "id": ids[i], "key": keys[i], "pos": place.astype(np.int32), "before": left.astype(np.int16), "after": right.astype(np.int16)}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    return docs.mapInPandas(work, f"anchor long, c1 long, c2 long, {DOC_TYPES}, pos int, before short, after short")
+    return map_pandas(docs, work, f"anchor long, c1 long, c2 long, {DOC_TYPES}, pos int, before short, after short")
 
 
 def by_document(rows: DataFrame, what: list[str], name: str) -> DataFrame:
@@ -115,10 +122,21 @@ def by_document(rows: DataFrame, what: list[str], name: str) -> DataFrame:
     return materialize(grouped, name)
 
 
-def with_items(docs: DataFrame, items: DataFrame, item_bytes: int, how: str) -> DataFrame:
-    """docs joined with their items, which are sent to all tasks only if they are few."""
+def with_items(docs: DataFrame, items: DataFrame, how: str) -> DataFrame:
+    """docs joined with their items."""
     on = (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id")) & (F.col("nul") == F.col("_nul"))
-    return docs.join(sent_if_small(items, F.size("items") * item_bytes), on, how)
+    return docs.join(items, on, how)
+
+
+def in_order(text: bytes, x: np.ndarray, y: np.ndarray, common: np.ndarray, left: np.ndarray, right: np.ndarray, back: bool) -> bool:
+    """Whether the suffixes (back: the prefixes read backwards) at x share just so many bytes with those at y and aren't greater; left and right: their sizes."""
+    for i, j, n, m, k in zip(x.tolist(), y.tolist(), common.tolist(), left.tolist(), right.tolist(), strict=True):
+        if back:
+            if text[i - n : i] != text[j - n : j] or (n < m and (n == k or text[i - n - 1] >= text[j - n - 1])):
+                return False
+        elif text[i : i + n] != text[j : j + n] or (n < m and (n == k or text[i + n] >= text[j + n])):
+            return False
+    return True
 
 
 class Contexts:
@@ -246,6 +264,11 @@ def repeats(texts: list[bytes], before: np.ndarray, group: np.ndarray, length: i
     rank[ordered] = np.arange(group.size)
     order = merge_sort(group, left_less)
     shared = neighbours(order, back)
+    for of, size, extension, backwards in ((ordered, right, neighbours(ordered, ahead), False), (order, left, shared, True)):
+        k = np.flatnonzero(extension >= 0)
+        a, b = of[k - 1], of[k]
+        if not in_order(c.text, c.anchor[a], c.anchor[b], extension[k], size[a], size[b], backwards):
+            return repeats_by_bytes(texts, before, group, length)
     use = most(order, shared) + most_right >= length
     item, depth = branch_depths(order, group, shared)
     ok = use[item] & (depth + most_right[item] >= length)
@@ -307,7 +330,7 @@ def sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = contexts.select(*order).repartition(parts, "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInPandas(work, f"{DOC_TYPES}, since int, upto int")
+    return map_pandas(dealt, work, f"{DOC_TYPES}, since int, upto int")
 
 
 def class_slices(size: int, before: int, length: int, gram: int, classes: int = CLASSES) -> Iterator[tuple[int, int, int, int, int]]:
@@ -336,7 +359,7 @@ def counted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
             out = []
             for nul, i, key, pos, before, alone, text in batch[[*of, "alone", "bytes"]].itertuples(index=False):
                 for c, a, b, x, y in class_slices(len(text), before, length, gram):
-                    out.append((c, xxh3_128_digest(text[x:y] + bytes((c,))), xxh3_128_digest(text[a:b]), nul, i, key, pos, before, alone, pos - before + a, pos - before + b))
+                    out.append((c, digest(text[x:y] + bytes((c,))), digest(text[a:b]), nul, i, key, pos, before, alone, pos - before + a, pos - before + b))
             yield pd.DataFrame(out, columns=["c", "core", "slice", *of, "alone", "since", "upto"])
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -345,10 +368,10 @@ def counted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
             for nul, i, key, pos, before, c, alone, text in batch[[*of, "c", "alone", "bytes"]].itertuples(index=False):
                 for k, a, b, _, _ in class_slices(len(text), before, length, gram):
                     if k == c:
-                        out += [(xxh3_128_digest(text[s : s + length]), nul, i, key, alone, pos - before + s) for s in range(a, b - length + 1)]
+                        out += [(digest(text[s : s + length]), nul, i, key, alone, pos - before + s) for s in range(a, b - length + 1)]
             yield pd.DataFrame(out, columns=["window", *DOC, "alone", "since"])
 
-    cut = materialize(contexts.mapInPandas(slices, f"c int, core binary, slice binary, {DOC_TYPES}, pos int, before int, alone boolean, since int, upto int"), "suffix-slices")
+    cut = materialize(map_pandas(contexts, slices, f"c int, core binary, slice binary, {DOC_TYPES}, pos int, before int, alone boolean, since int, upto int"), "suffix-slices")
     # contexts overlap, so a slice may come twice from one place; only different places count
     kinds = cut.groupBy("core", "slice").agg(F.min(place("since")).alias("first"), F.max(place("since")).alias("last"), F.max("alone").alias("alone"), F.min(place("pos", "before", "c")).alias("one"))
     kinds = materialize(kinds.withColumn("again", F.col("first") != F.col("last")), "suffix-slice-kinds")
@@ -356,7 +379,7 @@ def counted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     shared = kinds.groupBy("core").agg(F.count("*").alias("n"), F.max(F.col("alone") & ~F.col("again")).alias("open")).where("n > 1 and open").select("core")
     wanted = kinds.join(shared, "core", "left_semi").select("one.*", (F.col("alone") & ~F.col("again")).alias("alone"))
     pieces_ = contexts.select(*of, "bytes").dropDuplicates(of).join(wanted, of)
-    seen = materialize(pieces_.mapInPandas(strings, f"window binary, {DOC_TYPES}, alone boolean, since int"), "suffix-windows")
+    seen = materialize(map_pandas(pieces_, strings, f"window binary, {DOC_TYPES}, alone boolean, since int"), "suffix-windows")
     again = seen.groupBy("window").agg(F.min(place("since")).alias("first"), F.max(place("since")).alias("last")).where("first <> last").select("window")
     single = seen.where("alone").join(again, "window", "left_semi").select(*DOC, "since", (F.col("since") + length).cast("int").alias("upto"))
     return whole.unionByName(single)
@@ -373,26 +396,38 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     different = kinds.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("fewest")).where("m > 1 and fewest = 1").select("anchor", (F.col("m") > most).alias("many"))
     wanted = kinds.join(different, "anchor").select("anchor", "many", (F.col("n") == 1).alias("alone"), "one.*")
     items = by_document(wanted, ["anchor", "many", "alone", "pos", "before", "after"], "suffix-wanted")
+    copies = materialize(copies, "suffix-copies")
+    drop(found, kinds)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size, columns = [], 0, ["anchor", "many", *DOC, "pos", "before", "alone", "bytes"]
         for batch in batches:
-            out = []
             for nul, i, key, text, items_ in batch[[*DOC, "text", "items"]].itertuples(index=False):
                 data = as_bytes(text)
-                out += [(x["anchor"], x["many"], nul, i, key, x["pos"], x["before"], x["alone"], data[x["pos"] - x["before"] : x["pos"] + x["after"]]) for x in items_]
-            yield pd.DataFrame(out, columns=["anchor", "many", *DOC, "pos", "before", "alone", "bytes"])
-
-    joined = with_items(docs, items, 24, "inner").dropDuplicates(DOC) if repeated_rows(items, docs) else with_items(docs, items, 24, "inner")
-    contexts = materialize(joined.select(*DOC, "text", "items").mapInPandas(cut, f"anchor long, many boolean, {DOC_TYPES}, pos int, before int, alone boolean, bytes binary"), "suffix-bytes")
+                for x in items_:
+                    context = data[x["pos"] - x["before"] : x["pos"] + x["after"]]
+                    out.append((x["anchor"], x["many"], nul, i, key, x["pos"], x["before"], x["alone"], context))
+                    size += len(context)
+                    if size > OUT_BYTES:
+                        yield pd.DataFrame(out, columns=columns)
+                        out, size = [], 0
+        yield pd.DataFrame(out, columns=columns)
+
+    # equal rows are one here; that their texts are equal is told by the digest of the text within the row's key
+    joined = with_items(docs, items, "inner")
+    joined = joined.dropDuplicates(DOC) if repeated_rows(docs) else joined
+    contexts = materialize(map_pandas(joined.select(*DOC, "text", "items"), cut, f"anchor long, many boolean, {DOC_TYPES}, pos int, before int, alone boolean, bytes binary"), "suffix-bytes")
+    drop(items)
     out = copies.unionByName(sorted_spans(contexts.where("not many"), length))
     if contexts.where("many").limit(1).count():
         out = out.unionByName(counted_spans(contexts.where("many"), length, gram))
     return out
 
 
-def repeated_rows(items: DataFrame, docs: DataFrame) -> bool:
+def repeated_rows(docs: DataFrame) -> bool:
     """Whether some rows of docs are equal in id and key; each context's bytes are wanted from one row only."""
-    return bool(docs.groupBy(*DOC).count().where("count > 1").limit(1).count())
+    rows, different = docs.agg(F.count("*"), F.count_distinct(*DOC)).first()
+    return rows != different
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
@@ -415,13 +450,13 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
                 out.append((None if nul else str(i), kept, len(data), len(data) - len(kept), runs))
             yield pd.DataFrame(out, columns=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    cut_rows = with_items(rows, items, 8, "left").select("nul", "id", "text", "items").mapInPandas(cut, "doc_id string, kept binary, n_bytes long, n_removed long, n_spans long")
+    cut_rows = map_pandas(with_items(rows, items, "left").select("nul", "id", "text", "items"), cut, "doc_id string, kept binary, n_bytes long, n_removed long, n_spans long")
     return cut_rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicated(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return materialize(found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "suffixes")
 
 
 def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, str]]:

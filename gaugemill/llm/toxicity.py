@@ -13,7 +13,7 @@ FIT_ROWS such rows that come first by a hash of their id; this is the only bound
 one pass without a shuffle. The model is at most TERMS weights, which is what the tasks are sent.
 
 Defined cases: null and empty texts have no features and get the score of the intercept. A null id is not held out.
-Labels that are null are not used; of several labels of an id the largest counts. Repeated rows are scored alike. Without any usable label of either class
+Labels that are null are not used; of several labels of an id the largest counts. Repeated rows are scored alike. Extra columns are not looked at. Without any usable label of either class
 every score is the share of toxic labels, or 0. An empty table gives an empty result.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugemill.llm.bytewise import WORD_BYTE, Prefix, mixed, pieces, spans
-from gaugemill.llm.common import table
+from gaugemill.llm.common import map_pandas, materialize, table
 
 FIT_ROWS = 4000
 TERMS = 4096
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             cut, ids = np.searchsorted(doc, np.arange(len(batch) + 1)), feature.astype(np.int32)
             yield pd.DataFrame({"id": batch["_id"], "y": batch["_y"], "x": [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
 
-    found = docs.join(first, F.col("doc_id") == F.col("_id")).select("_id", "_y", "text").mapInPandas(distinct, "id long, y int, x binary")
+    found = map_pandas(docs.select("doc_id", "text").join(first, F.col("doc_id") == F.col("_id")).select("_id", "_y", "text"), distinct, "id long, y int, x binary")
     got = found.orderBy(F.xxhash64("id"), "id", "x").limit(rows).collect()
     return train([(r.y, np.frombuffer(r.x, np.int32)) for r in got])
 
@@ -242,10 +242,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": sigmoid(total)})
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    out = rows.mapInPandas(work, "doc_id string, held_out boolean, score double")
+    out = map_pandas(rows, work, "doc_id string, held_out boolean, score double")
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return materialize(score(docs, fit(docs, table(spark, sf_dir, "labels"))), "toxicity")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugemill.llm.common import few_rows, materialize, shared_path, table
+from gaugemill.llm.common import few_rows, map_pandas, materialize, shared_path, table
 
 MIN_REVISIT = 1000
 DATE = "1970-01-01T00:00:00Z"
@@ -117,7 +117,8 @@ def import_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows = list(parse_warc(content))
                 yield pd.DataFrame({"header": [h for h, _ in rows], "payload": [p for _, p in rows]})
 
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInPandas(parsed, "header string, payload binary")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    found = map_pandas(found, parsed, "header string, payload binary")
     return found.select(field(r"WARC-Record-ID: <urn:page:(-?\d+)>").cast("long").alias("page_id"), field(r"WARC-Type: (\w+)").alias("record_type"), "header", "payload")
 
 
