@@ -5,8 +5,11 @@ fraction is rounded so that the words taken from the source stay at the target:
 at random and without bias, until one of them has all of its words or none. Chunks of about 64 documents are
 folded in that way; each leaves at most one document undecided, and these meet in the chunks of the next level, so
 the residuals are combined through a reduction tree of about log64(n) levels. Chunks are dealt by hash within the
-source, so a source with a third of all rows is spread like any other. A chunk begins with its largest documents, so
-that what stays undecided is small.
+source, so a source with a third of all rows is spread like any other.
+
+The last undecided document of a source may be a large one, and drawing it leaves the source off its target by as much as its
+words. So the source is set right at the end: the decision about one document is turned round, that whose size is nearest to what the source
+has too much or too little, if this brings it nearer; and once more. Only documents with a fraction are turned, so none gets more than its whole part and one.
 
 Defined cases: null text has size 0. A null source is a source of its own, after all others. Documents of size 0
 take no part in the exchange; they are kept whole-part times, plus once by a hash draw. A source without words has
@@ -27,6 +30,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 CHUNK = 64
+CORRECTIONS = 2
 SEED = 9
 
 
@@ -90,6 +94,19 @@ def fold_sql(id_type: str) -> str:
         when x.draw * ({_UP} + {_DOWN}) < {_DOWN} then {up} else {down} end as struct<a:{unit},out:{outs}>))"""
 
 
+def corrected(decided: DataFrame) -> DataFrame:
+    """decided(id, take, row) with at most one decision of each source turned round, so that its words come nearer to its target; row tells equal rows apart."""
+    words = F.col("id.words")
+    off = decided.groupBy(F.col("id.source").alias("_src")).agg((F.sum(words * (F.col("id.whole") + F.col("take"))) - F.max("id.target")).alias("off"))
+    fraction = (F.col("id.target") > F.col("id.whole") * F.col("id.source_size")) & (words > 0)
+    of = decided.where(fraction).select(F.col("id.source").alias("source"), "id", "take", "row", words.alias("words")).join(off, F.col("source").eqNullSafe(F.col("_src")))
+    turns = of.where(((F.col("off") > 0) & (F.col("take") == 1) | (F.col("off") < 0) & (F.col("take") == 0)) & (F.col("words") < 2 * F.abs("off")))
+    nearest = F.min(F.struct(F.abs(F.col("words") - F.abs("off")), F.col("id.doc_id"), F.col("id.key"), "row"))
+    one = turns.groupBy("source").agg(nearest.alias("n")).select(F.col("n.row").alias("_turned"))
+    turned = F.when(F.col("_turned").isNotNull(), 1 - F.col("take")).otherwise(F.col("take"))
+    return decided.join(one, F.col("row") == F.col("_turned"), "left").select("id", turned.alias("take"), "row")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """Per row of docs(doc_id, source, text): doc_id, source, key, size, source_size, target, copies (int), taken."""
     rows = materialize(docs.select("doc_id", "source", row_key(docs).alias("key"), word_count(F.col("text")).alias("size")), "mix-rows")
@@ -121,6 +138,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     out = decided[0]
     for d in decided[1:]:
         out = out.unionByName(d)
+    out = out.withColumn("row", F.monotonically_increasing_id())
+    for turn in range(CORRECTIONS):
+        out = corrected(materialize(out, f"mix-decided{turn}"))
     copies = (F.col("id.whole") + F.col("take")).cast("int")
     return out.select("id.doc_id", "id.source", "id.key", F.col("id.words").alias("size"), "id.source_size", "id.target", copies.alias("copies"), (F.col("id.words") * copies).alias("taken"))
 

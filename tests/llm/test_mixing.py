@@ -37,7 +37,8 @@ def check(rows, docs):
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and r.taken in {0, r.size, 2 * r.size}
         took[r.source] = took.get(r.source, 0) + r.taken
     for s, t in took.items():
-        assert abs(t - want[s]) <= max(words(d.text) for d in docs if d.source == s)
+        found = [words(d.text) for d in docs if d.source == s]
+        assert abs(t - want[s]) <= (0.01 * want[s] + 1 if len(found) >= 50 else max(found))
 
 
 def test_query_meets_the_targets_and_reruns_agree(spark, small):
@@ -71,6 +72,11 @@ def test_unbiased(make):
     assert all(0 < t <= runs for t in taken[2::3])
 
 
+def test_a_source_of_fifty_documents_comes_within_one_percent(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")  # the source that was 13 % off is in it
+    check(m.mix(docs).collect(), docs.collect())
+
+
 def test_odd_rows(odd, none):
     docs = odd.select("doc_id", "text", "source").collect()
     check(m.mix(odd).collect(), docs)
