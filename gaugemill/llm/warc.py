@@ -3,7 +3,7 @@
 write_archive() stores two tables. payloads(digest, payload) has one row for each distinct payload, under its SHA-256.
 headers(page_id, record_type, digest, header) has the exact bytes of every record that stand before the payload: WARC
 header, blank line and HTTP header. read_archive() joins them by digest, computes every payload's SHA-256 again, and fails
-if it differs. Of the records with equal payloads of at least MIN_REVISIT bytes, that with the largest page_id is
+if it differs; record_bytes() frames each record as a WARC file holds it, and parsed_records() takes such records apart again. Of the records with equal payloads of at least MIN_REVISIT bytes, that with the largest page_id is
 a response and the others are revisits of it; all smaller ones are responses.
 
 Before anything is stored, payloads under one SHA-256 must agree in length and SHA-1. Only ids and digests are grouped;
@@ -82,14 +82,30 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
-    """page_id and record: what a WARC file holds for each record, but for the two line ends that close it."""
+    """All columns of records, and record: what a WARC file holds for each, with the two line ends that close it."""
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return records.select("page_id", F.concat(F.encode("header", "UTF-8"), body).alias("record"))
+    return records.withColumn("record", F.concat(F.encode("header", "UTF-8"), body, F.lit((CRLF * 2).encode())))
+
+
+def parsed_records(framed: DataFrame) -> DataFrame:
+    """framed with header and body (bytes after the HTTP header) as its column record says; an error if a record isn't as long as its Content-Length.
+
+    Headers are ASCII or UTF-8 without empty lines, so the first two empty lines end them, whatever the payload holds.
+    """
+    text, stop = F.decode("record", "UTF-8"), CRLF * 2
+    heads = F.concat(F.substring_index(text, stop, 2), F.lit(stop))
+    framed = framed.drop("header").withColumn("header", heads)
+    warc = F.octet_length(F.concat(F.substring_index("header", stop, 1), F.lit(stop)))
+    length = F.regexp_extract("header", r"(?i)\r\ncontent-length: *(\d+)\r\n", 1).cast("int")
+    fits = (F.octet_length("record") == warc + length + 4) & (F.substring("record", -4, 4) == F.lit(stop.encode()))
+    skip = F.octet_length("header")
+    body = F.substr("record", skip + 1, F.octet_length("record") - skip - 4)
+    return framed.withColumn("body", F.when(fits, body).otherwise(F.raise_error(F.lit("a record does not end where its Content-Length says")).cast("binary")))
 
 
 def export_warc(records: DataFrame, path: str, records_per_file: int = 10_000) -> None:
     """Standard WARC files: the text writer's line end closes each record."""
-    text = record_bytes(records).select(F.decode("record", "UTF-8").alias("value"))
+    text = record_bytes(records).select(F.decode(F.substr("record", F.lit(1), F.octet_length("record") - 4), "UTF-8").alias("value"))
     text.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -130,11 +146,13 @@ def field(pattern: str) -> Column:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    return read_archive(spark, path).select(
+    kind = field(r"WARC-Type: (\w+)")
+    full = F.when(kind == "response", F.col("body")).otherwise(F.col("payload"))
+    return parsed_records(record_bytes(read_archive(spark, path))).select(
         field(r"WARC-Record-ID: <urn:page:(-?\d+)>").cast("long").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
-        field(r"WARC-Type: (\w+)").alias("record_type"),
+        F.octet_length(full).cast("long").alias("payload_bytes"),
+        F.sha1(full).alias("payload_digest"),
+        kind.alias("record_type"),
         field(r"WARC-Refers-To: <urn:page:(-?\d+)>").cast("long").alias("refers_to"),
     )
 

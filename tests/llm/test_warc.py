@@ -50,6 +50,23 @@ def test_a_damaged_payload_is_noticed(spark, pages, tmp_path):
         w.read_archive(spark, str(tmp_path / "b")).collect()
 
 
+def test_framed_records_are_taken_apart_again(spark, pages, tmp_path):
+    records = rebuilt(spark, pages, tmp_path)
+    framed = w.record_bytes(records)
+    got = w.parsed_records(framed).collect()
+    assert len(got) == 11 and all(bytes(r.body) == (bytes(r.payload) if r.record_type == "response" else b"") for r in got)
+    assert sorted(r.header for r in got) == sorted(r.header for r in records.collect())
+    for wrong in (F.concat("record", F.lit(b"x")), F.substr("record", F.lit(1), F.octet_length("record") - 1)):
+        with pytest.raises(Exception, match="Content-Length"):
+            w.parsed_records(framed.withColumn("record", wrong)).collect()
+
+
+def test_very_long_pages(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", ("\r\n\r\n" + "é" * 50) * 40_000) for i in (1, 2)], PAGES)
+    framed = w.record_bytes(rebuilt(spark, pages, tmp_path))
+    assert [(r.record_type, len(r.payload)) for r in w.parsed_records(framed).orderBy("page_id").collect()] == [("revisit", 4_160_000), ("response", 4_160_000)]
+
+
 def test_a_truncated_file_is_noticed():
     with pytest.raises(ValueError):
         list(w.parse_warc(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nHTTP\r\n\r\nabc"))
