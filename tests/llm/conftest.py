@@ -24,7 +24,7 @@ def odd(spark, make):
     ]
     from pyspark.sql import functions as F
 
-    clash = {c: F.lit(7) for c in ("_key", "_row", "key", "size", "shard", "id", "nul", "copies", "_copies", "rank", "n", "_keep", "_bad", "fp", "node", "language", "kept")}
+    clash = {c: F.lit(7) for c in ("_key", "_row", "key", "size", "shard", "id", "nul", "copies", "_copies", "rank", "n", "_keep", "_bad", "fp", "node", "language", "kept", "_id", "_y", "_src", "_part", "_unit", "_h", "_nul", "held_out", "window", "start", "_turned", "row", "take", "phrase", "asked", "word", "seg", "_place", "_share")}
     return make(rows).withColumns(clash)
 
 

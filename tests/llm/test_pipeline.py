@@ -47,6 +47,24 @@ def test_planted_cases(spark, make, tmp_path):
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
 
 
+def test_empty_tables_and_clashing_columns(spark, make, odd, none, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
+    clean = make([(100 + i, f"the house of the king and the queen number {i} " + " ".join(f"word{i * 7 + k}" for k in range(30))) for i in range(40)])
+    docs = clean.join(odd.limit(1).drop("doc_id", "text", "lang", "source", "n_chars")).unionByName(odd)
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == odd.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name == "near_duplicates":  # one of each group stays: of the equal rows of 8 and of 1, and of 5 and 6
+            ids = [r.doc_id for r in docs.collect()]
+            assert len(ids) == len(set(ids)) and len({1, 8} & set(ids)) <= 1 and len({5, 6} & set(ids)) <= 1
+    last = p.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert last.count() == docs.count()
+
+
 def test_registered():
     import __spark_entry__
 
