@@ -10,8 +10,8 @@ prefix polynomial hashes: a binary search over lengths finds the common extensio
 all groups at once. Neighbours in the order that share LENGTH bytes or more are repeats. Every two neighbours of both orders are
 verified by their bytes, what they share and which comes first, and so is every repeat; if hashes had erred the piece is done again by its bytes.
 
-An anchor with more than MOST different contexts isn't sorted in one task: slices of its contexts, and where slices differ their strings
-of LENGTH bytes, are dealt out by a 128-bit cut of their SHA-256 and counted, which gives the same spans.
+An anchor with more than MOST different contexts isn't sorted in one task: slices of its contexts, and where slices differ smaller ones,
+down to strings of LENGTH bytes, are dealt out by a 128-bit cut of their SHA-256 and counted, which gives the same spans.
 
 Texts are shuffled twice, to be joined with the positions that are wanted of them, at every size alike; nothing is broadcast.
 
@@ -37,8 +37,8 @@ LENGTH = 400
 #: About so many bytes of contexts are given on at once.
 OUT_BYTES = 8 << 20
 GRAM = 32
-MOST = 4096
-CLASSES = 8
+MOST = 1024
+PARTS = 5
 PLACE_BITS = 26
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
 DOC = ["nul", "id", "key"]
@@ -333,56 +333,51 @@ def sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
     return map_pandas(dealt, work, f"{DOC_TYPES}, since int, upto int")
 
 
-def class_slices(size: int, before: int, length: int, gram: int, classes: int = CLASSES) -> Iterator[tuple[int, int, int, int, int]]:
-    """(class, from, to, core from, core to) for a context of size bytes: its strings of length bytes fall into classes by
-    how far before the anchor they begin; [from, to) holds all of a class, the core is what they have in common."""
-    steps = length - gram + 1
-    for c in range(classes):
-        low, high = steps * c // classes, steps * (c + 1) // classes - 1
-        near, far = max(low, before + length - size), min(high, before)  # strings have to lie in the context
-        if near <= far:  # then what is common to the whole class does, too
-            yield c, before - far, before - near + length, before - low, before - high + length
+def class_slices(size: int, before: int, length: int, low: int, high: int, parts: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(low, high, from, to, core from, core to) for each part of a class of a context of size bytes.
+
+    A class is the strings of length bytes that begin low and more, but less than high, bytes before the anchor; [from, to) holds all
+    of them that lie in the context, the core is what every string of the class has in common.
+    """
+    edges = [low + (high - low) * i // parts for i in range(parts + 1)]
+    for x, y in zip(edges[:-1], edges[1:], strict=True):
+        near, far = max(x, before + length - size), min(y - 1, before)  # strings have to lie in the context
+        if x < y and near <= far:  # then what is common to the whole class does, too
+            yield x, y, before - far, before - near + length, before - x, before - y + 1 + length
 
 
-def counted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+def counted_spans(contexts: DataFrame, length: int, gram: int, parts: int = PARTS) -> DataFrame:
     """What sorted_spans() gives, for anchors with very many contexts, with nothing brought together but counts.
 
-    The strings of a context that begin within some 46 bytes of each other are taken as one slice. Slices that are equal
-    as a whole are repeats. Of the others only those whose core (all but some 46 bytes) recurs go on; their strings
-    are dealt out by a 128-bit hash and counted one by one.
+    A search over how far matches reach, in all contexts at once: the strings of a context that begin close to each other are a class, and
+    are taken as one slice. Slices that are equal as a whole are repeats. Of the others only classes go on whose core recurs; they are
+    cut into smaller ones, until a class is one string. At each step a place where copies part leaves open only the class about it.
     """
-    of = [*DOC, "pos", "before"]
+    of, steps = [*DOC, "pos", "before"], length - gram + 1
     place = lambda *c: F.struct(*DOC, *c)
 
     def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for nul, i, key, pos, before, alone, text in batch[[*of, "alone", "bytes"]].itertuples(index=False):
-                for c, a, b, x, y in class_slices(len(text), before, length, gram):
-                    out.append((c, digest(text[x:y] + bytes((c,))), digest(text[a:b]), nul, i, key, pos, before, alone, pos - before + a, pos - before + b))
-            yield pd.DataFrame(out, columns=["c", "core", "slice", *of, "alone", "since", "upto"])
-
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for nul, i, key, pos, before, c, alone, text in batch[[*of, "c", "alone", "bytes"]].itertuples(index=False):
-                for k, a, b, _, _ in class_slices(len(text), before, length, gram):
-                    if k == c:
-                        out += [(digest(text[s : s + length]), nul, i, key, alone, pos - before + s) for s in range(a, b - length + 1)]
-            yield pd.DataFrame(out, columns=["window", *DOC, "alone", "since"])
-
-    cut = materialize(map_pandas(contexts, slices, f"c int, core binary, slice binary, {DOC_TYPES}, pos int, before int, alone boolean, since int, upto int"), "suffix-slices")
-    # contexts overlap, so a slice may come twice from one place; only different places count
-    kinds = cut.groupBy("core", "slice").agg(F.min(place("since")).alias("first"), F.max(place("since")).alias("last"), F.max("alone").alias("alone"), F.min(place("pos", "before", "c")).alias("one"))
-    kinds = materialize(kinds.withColumn("again", F.col("first") != F.col("last")), "suffix-slice-kinds")
-    whole = cut.where("alone").join(kinds.where("again").select("core", "slice"), ["core", "slice"], "left_semi").select(*DOC, "since", "upto")
-    shared = kinds.groupBy("core").agg(F.count("*").alias("n"), F.max(F.col("alone") & ~F.col("again")).alias("open")).where("n > 1 and open").select("core")
-    wanted = kinds.join(shared, "core", "left_semi").select("one.*", (F.col("alone") & ~F.col("again")).alias("alone"))
-    pieces_ = contexts.select(*of, "bytes").dropDuplicates(of).join(wanted, of)
-    seen = materialize(map_pandas(pieces_, strings, f"window binary, {DOC_TYPES}, alone boolean, since int"), "suffix-windows")
-    again = seen.groupBy("window").agg(F.min(place("since")).alias("first"), F.max(place("since")).alias("last")).where("first <> last").select("window")
-    single = seen.where("alone").join(again, "window", "left_semi").select(*DOC, "since", (F.col("since") + length).cast("int").alias("upto"))
-    return whole.unionByName(single)
+            for nul, i, key, pos, before, alone, low, high, text in batch[[*of, "alone", "low", "high", "bytes"]].itertuples(index=False):
+                for lo, hi, a, b, x, y in class_slices(len(text), before, length, low, high, parts):
+                    out.append((lo, hi, digest(text[x:y] + b"%d,%d" % (lo, hi)), digest(text[a:b]), nul, i, key, pos, before, alone, pos - before + a, pos - before + b))
+            yield pd.DataFrame(out, columns=["low", "high", "core", "slice", *of, "alone", "since", "upto"])
+
+    rows, width, found = contexts.select(*of, "alone", F.lit(0).alias("low"), F.lit(steps).alias("high"), "bytes"), steps, None
+    while True:
+        cut = materialize(map_pandas(rows, slices, f"low int, high int, core binary, slice binary, {DOC_TYPES}, pos int, before int, alone boolean, since int, upto int"), f"suffix-slices-{width}")
+        # contexts overlap, so a slice may come twice from one place; only different places count
+        kinds = cut.groupBy("core", "slice").agg(F.min(place("since")).alias("first"), F.max(place("since")).alias("last"), F.max("alone").alias("alone"), F.min(place("pos", "before", "low", "high")).alias("one"))
+        kinds = materialize(kinds.withColumn("again", F.col("first") != F.col("last")), f"suffix-kinds-{width}")
+        whole = cut.where("alone").join(kinds.where("again").select("core", "slice"), ["core", "slice"], "left_semi").select(*DOC, "since", "upto")
+        found = whole if found is None else found.unionByName(whole)
+        width = -(-width // parts)
+        shared = kinds.groupBy("core").agg(F.count("*").alias("n"), F.max(F.col("alone") & ~F.col("again")).alias("open")).where("n > 1 and open").select("core")
+        wanted = materialize(kinds.join(shared, "core", "left_semi").select("one.*", (F.col("alone") & ~F.col("again")).alias("alone")), f"suffix-open-{width}")
+        if width == 1 or wanted.isEmpty():
+            return found
+        rows = contexts.select(*of, "bytes").join(wanted, of)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
