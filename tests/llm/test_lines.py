@@ -3,14 +3,18 @@ import random
 from gaugemill.llm import lines as ln
 
 
-def plain(docs, run=4):
+def plain(docs, run=4, words=50):
     seen, out = set(), {}
     for doc_id, text in sorted(docs):
         x, gone = text.split("\n"), set()
-        for i in range(len(x) - run + 1):
-            w = tuple(x[i : i + run])
+        for i in range(len(x)):
+            w = ()
+            while len(w) < run and sum(len(y.split()) for y in w) < words and i + len(w) < len(x):
+                w += (x[i + len(w)],)
+            if len(w) < run and sum(len(y.split()) for y in w) < words:
+                break
             if w in seen:
-                gone.update(range(i, i + run))
+                gone.update(range(i, i + len(w)))
             seen.add(w)
         out[doc_id] = ("\n".join(t for i, t in enumerate(x) if i not in gone), len(x), len(gone))
     return out
@@ -23,6 +27,20 @@ def test_equals_brute_force(make):
     assert got == plain(docs)
 
 
+def test_long_lines_equal_brute_force(make):
+    rnd = random.Random(2)
+    lines = [" ".join(rnd.choice("uvwxyz") for _ in range(n)) for n in (0, 1, 9, 17, 24, 26, 49, 50, 51, 120)]
+    docs = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randrange(1, 9)))) for i in range(80)]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in ln.deduplicated(make(docs)).collect()}
+    assert got == plain(docs)
+
+
+def test_one_long_line_goes_and_a_short_one_stays(make):
+    long, short = " ".join(["word"] * 50), " ".join(["word"] * 49)
+    got = {r.doc_id: r.text for r in ln.deduplicated(make([(1, f"{long}\na"), (2, f"b\n{long}"), (3, short), (4, short)])).collect()}
+    assert got == {1: f"{long}\na", 2: "b", 3: short, 4: short}
+
+
 def test_runs_are_maximal(make):
     a = [f"line {i}" for i in range(12)]
     docs = [(1, "\n".join(a)), (2, "\n".join(["x", *a[2:9], "y"])), (3, "\n".join(a[:3]))]
