@@ -119,7 +119,8 @@ def deduplicated(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFra
     hashed = materialize(line_hashes(docs), "lines-hashed")
     gone = repeated_runs(hashed, run, words).groupBy(*(F.col(c).alias(f"_{c}") for c in DOC)).agg(F.collect_set(F.struct("start", "n_lines")).alias("runs"))
     rows = docs.select(F.col("doc_id").isNull().alias("nul"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"), short_key(docs).alias("key"), "text")
-    joined = rows.join(materialize(gone, "lines-gone"), (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id")) & (F.col("nul") == F.col("_nul")), "left")
+    # by shuffle at any size: texts move once, and runs, which grow with the data, are never sent to all tasks
+    joined = rows.join(materialize(gone, "lines-gone").hint("merge"), (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id")) & (F.col("nul") == F.col("_nul")), "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
