@@ -8,7 +8,7 @@ from gaugemill.llm.lines import OP3_SQL, op3_lines
 from gaugemill.llm.mixing import op9_mixing
 from gaugemill.llm.sharding import op6_sharding
 from gaugemill.llm.simhash import op5_simhash
-from gaugemill.llm.suffixes import op4_suffixes
+from gaugemill.llm.suffixes import OP4_SQL, op4_suffixes
 from gaugemill.llm.topk import OP8_SQL, op8_topk
 from gaugemill.llm.toxicity import op7_toxicity
 from gaugemill.llm.warc import OP2_SQL, op2_warc
@@ -29,6 +29,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_warc": OP2_SQL,
     "op3_lines": OP3_SQL,
+    "op4_suffixes": OP4_SQL,
     "op8_topk": OP8_SQL,
     "op10_decontamination": OP10_SQL,
 }

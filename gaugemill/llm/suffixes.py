@@ -454,6 +454,23 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "suffixes")
 
 
+#: Strings of 400 bytes are 800 hexadecimal digits; texts are cut into pieces first, since substr() looks through the whole of what it cuts.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, a, substr(x, 2 * a + 1, 1598) AS x FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399, 400)) AS a FROM d)),
+w AS MATERIALIZED (SELECT doc_id, a + i AS i, md5_number(substr(x, 2 * i + 1, 800)) AS g FROM (SELECT doc_id, a, x, unnest(range(length(x) // 2 - 399)) AS i FROM c)),
+r AS (SELECT doc_id, i FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)),
+e AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 400, true) AS new FROM r),
+k AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM e),
+s AS (SELECT doc_id, min(i) AS since, max(i) + 400 AS upto FROM k GROUP BY doc_id, k),
+p AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY doc_id ORDER BY since), 0) AS before FROM s),
+t AS (SELECT doc_id, any_value(x) AS x, sum(upto - since) AS n_removed, count(*) AS n_spans, max(upto) AS last,
+  string_agg(substr(x, 2 * before + 1, 2 * (since - before)), '' ORDER BY since) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(d.x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN d.x ELSE kept || substr(d.x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
 def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, str]]:
     """(n_removed, n_spans, SHA-256 of what is kept) of each text, straight from the definition."""
     seen: dict[bytes, int] = {}
