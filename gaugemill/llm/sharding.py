@@ -3,9 +3,10 @@
 Rows of equal texts form a group that no shard divides. Groups are ordered by 64-bit hash of the text; its leading 16 bits make at
 most 65,536 ordered atomic units (several groups may share one, equal texts always do), so that the driver holds at most that
 many sizes for any input. It searches for the smallest capacity with which a greedy walk needs no more than the wanted
-shards, and then cuts as near to the mean as that capacity allows. Slots are numbered within the parts of a unit; a unit with
-many rows is divided by a hash of the row, so no task has to rank a hot group alone. The parts' offsets are at most 65,536 plus
-64 for each of at most about 1,000 divided units, which is why they may be broadcast.
+shards, and then cuts as near to the mean as that capacity allows. Slots are numbered within the parts of a unit; a unit is
+divided by a hash of the row into parts of some 4,096 rows, or of 1/65,536 of all rows if that is more. So no task has to rank a
+hot group alone, and a part holds no larger a share of more rows. All parts together are at most 65,536 more than
+there are units, which is why their offsets may be broadcast.
 
 Defined cases: null text has size 8 and the check sum of an empty text, and forms a group with empty texts. Repeated rows
 and null ids are rows like any other; ties in the order of slots fall to equal rows only. Fewer units than shards leave
@@ -24,8 +25,8 @@ from gaugemill.llm.common import materialize, table
 
 SHARDS = 24
 UNIT_BITS = 16
-PARTS = 64
-HOT_SHARE = 1000
+#: Rows of a part, unless there would be more parts than that.
+PART_ROWS, MOST_PARTS = 4096, 1 << 16
 
 
 def fits(before: list[int], capacity: int, shards: int) -> bool:
@@ -70,27 +71,29 @@ def cut(sizes: list[int], shards: int) -> list[int]:
     return out
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, part_rows: int = PART_ROWS) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    spark, text = docs.sparkSession, F.coalesce(F.col("text"), F.lit(""))
     digest = F.xxhash64(text)
     rows = materialize(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), digest.alias("_h"), F.shiftrightunsigned(digest, 64 - UNIT_BITS).cast("int").alias("_unit")), "shard-rows")
-    part = F.pmod(F.xxhash64("doc_id", "_h"), F.lit(PARTS)).cast("int")
     units = {u: (n, size) for u, n, size in rows.groupBy("_unit").agg(F.count("*"), F.sum("size")).collect()}  # at most 2 ** UNIT_BITS
-    most = max(PARTS, sum(n for n, _ in units.values()) // HOT_SHARE)
-    hot = sorted(u for u, (n, _) in units.items() if n > most)  # at most HOT_SHARE
-    counts = {(u, p): n for u, p, n in rows.where(F.col("_unit").isin(hot)).groupBy("_unit", part).count().collect()} if hot else {}
+    part_rows = max(part_rows, -(-sum(n for n, _ in units.values()) // MOST_PARTS))
+    parts = {u: -(-n // part_rows) for u, (n, _) in units.items() if n > part_rows}
+    counts, part = {}, F.lit(0)
+    if parts:
+        divided = spark.createDataFrame(sorted(parts.items()), "_unit int, _parts int")
+        rows = rows.join(F.broadcast(divided), "_unit", "left")
+        part = F.pmod(F.xxhash64("doc_id", "_h"), F.coalesce("_parts", F.lit(1))).cast("int")
+        counts = {(u, p): n for u, p, n in rows.where("_parts is not null").groupBy("_unit", part).count().collect()}  # at most MOST_PARTS and one for each unit
     order = sorted(units)
-    offsets, filled, divided = [], [0] * shards, set(hot)
+    offsets, filled = [], [0] * shards
     for u, s in zip(order, cut([units[u][1] for u in order], shards), strict=True):
-        for p in range(PARTS) if u in divided else (0,):
+        for p in range(parts.get(u, 1)):
             offsets.append((u, p, s, filled[s]))
-            filled[s] += counts.get((u, p), 0) if u in divided else units[u][0]
-    spark = docs.sparkSession
+            filled[s] += counts.get((u, p), 0) if u in parts else units[u][0]
     placed = spark.createDataFrame(offsets, "_unit int, _part int, shard int, _offset long")
-    rows = rows.withColumn("_part", F.when(F.col("_unit").isin(hot), part).otherwise(0) if hot else F.lit(0))
     slot = F.row_number().over(Window.partitionBy("_unit", "_part").orderBy("_h", "doc_id")) - 1
-    return rows.withColumn("_slot", slot).join(F.broadcast(placed), ["_unit", "_part"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_offset") + F.col("_slot")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return rows.withColumn("_part", part).withColumn("_slot", slot).join(F.broadcast(placed), ["_unit", "_part"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_offset") + F.col("_slot")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,10 +59,19 @@ def test_query(spark, small):
 
 def test_a_hot_group_is_numbered_in_parts(make):
     rows = [(i, "same text" if i % 3 else f"text {i}") for i in range(3000)]
-    got = s.shard(make(rows)).collect()
+    got = s.shard(make(rows), part_rows=50).collect()
     check(got, {})
     assert len({r.shard for r in got if r.doc_id % 3}) == 1
-    assert sorted(map(tuple, got)) == sorted(map(tuple, s.shard(make(rows).repartition(7)).collect()))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, s.shard(make(rows).repartition(7), part_rows=50).collect()))
+    whole = {r.doc_id: r.shard for r in s.shard(make(rows)).collect()}
+    assert whole == {r.doc_id: r.shard for r in got}
+
+
+def test_a_part_grows_with_the_rows_only_beyond_the_most_parts(make, monkeypatch):
+    monkeypatch.setattr(s, "MOST_PARTS", 4)
+    got = s.shard(make([(i, "same text") for i in range(1000)]), part_rows=10).collect()
+    check(got, {})
+    assert len({r.shard for r in got}) == 1
 
 
 def test_odd_rows(odd, none):
