@@ -4,7 +4,7 @@ Rows of equal texts form a group that no shard divides. Groups are ordered by 64
 most 65,536 ordered atomic units (several groups may share one, equal texts always do), so that the driver holds at most that
 many sizes for any input. It searches for the smallest capacity with which a greedy walk needs no more than the wanted
 shards, and then cuts as near to the mean as that capacity allows. Slots are numbered within the parts of a unit; a unit is
-divided by a hash of the row into parts of some 4,096 rows, or of 1/65,536 of all rows if that is more. So no task has to rank a
+divided by a hash of the row into parts of some 256 rows, or of 1/65,536 of all rows if that is more. So no task has to rank a
 hot group alone, and a part holds no larger a share of more rows. All parts together are at most 65,536 more than
 there are units, which is why their offsets may be broadcast.
 
@@ -26,7 +26,7 @@ from gaugemill.llm.common import materialize, table
 SHARDS = 24
 UNIT_BITS = 16
 #: Rows of a part, unless there would be more parts than that.
-PART_ROWS, MOST_PARTS = 4096, 1 << 16
+PART_ROWS, MOST_PARTS = 256, 1 << 16
 
 
 def fits(before: list[int], capacity: int, shards: int) -> bool:
