@@ -143,17 +143,49 @@ class PackedBKTree:
                 node = self.children[np.repeat(low, times) + offset]
 
 
+def joint_pairs(values: np.ndarray, radius: int, block: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i > j, of values at most radius apart, through a BK-tree of the different values that all values walk together.
+
+    For a radius that lets most values follow most edges: each node is compared with an array of those that reach it, and holds all places of
+    its value, so equal values make no chain. Pairs come in batches of about block.
+    """
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    heads = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    ends = np.append(heads[1:], values.size).tolist()
+    tree = PackedBKTree(values[heads])
+    bounds = np.searchsorted(tree.keys, np.arange(heads.size + 1) * (BITS + 1)).tolist()
+    edges, children, heads = (tree.keys % (BITS + 1)).tolist(), tree.children.tolist(), heads.tolist()
+    stack, found, size = [(0, 0, np.arange(values.size), np.zeros(values.size, np.int16))], [], 0
+    while stack:
+        node, edge, query, d = stack.pop()
+        first = int(np.searchsorted(query, heads[node]))  # nodes below come later in the order, and pairs are taken at the earlier one
+        query = query[first:][np.abs(d[first:] - edge) <= radius] if node else query
+        d = np.bitwise_count(values[query] ^ values[heads[node]]).astype(np.int16)
+        hit = query[d <= radius]
+        for held in range(heads[node], ends[node]):
+            found.append((hit[np.searchsorted(hit, held, side="right") :], held))
+            size += found[-1][0].size
+            if size >= block:
+                yield _placed(order, found)
+                found, size = [], 0
+        stack += [(children[k], edges[k], query, d) for k in range(bounds[node], bounds[node + 1])]
+    yield _placed(order, found)
+
+
+def _placed(order: np.ndarray, found: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i > j, of pairs of places in order, given as (array, one place)."""
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    x = order[np.concatenate([many for many, _ in found])]
+    y = order[np.repeat([one for _, one in found], [many.size for many, _ in found])]
+    return np.maximum(x, y), np.minimum(x, y)
+
+
 def close_pairs(values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j), i > j, of values at most radius apart, through a BK-tree, batch by batch; compared one by one where the radius is too wide for edges to leave anything out."""
-    if radius > BITS // 4:
-        step = max(1, (1 << 18) // max(1, values.size))
-        for start in range(0, values.size, step):
-            i, j = np.nonzero(np.bitwise_count(values[start : start + step, None] ^ values[None, : start + step]) <= radius)
-            i += start
-            yield i[i > j], j[i > j]
-        return
+    """Places (i, j), i > j, of values at most radius apart, through a BK-tree, batch by batch."""
     if values.size > PLAIN:
-        yield from PackedBKTree(values).pairs(radius)
+        yield from joint_pairs(values, radius) if radius > BITS // 4 else PackedBKTree(values).pairs(radius)
         return
     tree, found = BKTree(), []
     for i, value in enumerate(values.tolist()):

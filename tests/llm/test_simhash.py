@@ -185,6 +185,32 @@ def test_wide_radius_compares_all():
     assert got == {(i, j) for i in range(700) for j in range(i) if int(values[i] ^ values[j]).bit_count() <= 26}
 
 
+def test_similar_sets_are_proposed_through_trees(monkeypatch):
+    """Of a small and of a large shard; equal fingerprints are one node of the large one's tree, and its edges leave comparisons out."""
+    rnd = np.random.default_rng(8)
+    asked, trees, compared = [], [], []
+    within, build, count = s.BKTree.within, s.PackedBKTree.__init__, np.bitwise_count
+    monkeypatch.setattr(s.BKTree, "within", lambda self, value, radius: asked.append(radius) or within(self, value, radius))
+    monkeypatch.setattr(s.PackedBKTree, "__init__", lambda self, values: trees.append(values.size) or build(self, values))
+    one = np.uint64(1)
+    for n in (20, 100):
+        sets = [np.unique(np.append(rnd.integers(1 << 40, 1 << 62, 50 + k % 2).astype(np.uint64), one)) for k in range(n // 2)] * 2
+        fp = np.array([s.majority(x) for x in sets], np.uint64)
+        found, unsure = s.proposals(fp, np.array([x.size for x in sets]), s.sketch_matrix([x.tobytes() for x in sets], 128), one, list(range(n)), 0.8, s.WIDE, 5)
+        assert sorted(map(sorted, found)) == [[k, k + n // 2] for k in range(n // 2)]
+        assert not unsure.any()
+    assert asked == [s.WIDE] * 20 and trees == [50]
+    near = np.where(np.arange(700) % 2, np.uint64(12345), ~np.uint64(12345))
+    values = near ^ (one << rnd.integers(0, 64, 700).astype(np.uint64)) ^ (one << rnd.integers(0, 64, 700).astype(np.uint64))
+    want = {(i, j) for i in range(700) for j in range(i) if int(values[i] ^ values[j]).bit_count() <= s.WIDE}
+    monkeypatch.setattr(np, "bitwise_count", lambda x: compared.append(x.size) or count(x))
+    for block in (1000, 1 << 18):
+        compared.clear()
+        got = [p for i, j in s.joint_pairs(values, s.WIDE, block) for p in zip(i.tolist(), j.tolist())]
+        assert len(got) == len(want) and set(got) == want
+        assert sum(compared) < 0.7 * 700 * 700 / 2
+
+
 def test_large_shards_lose_no_link(make):
     """Texts of one shingle, whose only hash makes a shard, and texts that share just one least hash with the others of a large shard."""
     rows = [(i, " " * i + ("one two three" if i % 2 else "One Two THREE")) for i in range(8)] + [(10 + i, "chant " * (5 + i)) for i in range(8)]
